@@ -1,0 +1,61 @@
+"""Shared scratch space: where an operator cuts lineage or hands files to executors.
+
+Everything lives below ``spark.checkpoint.dir``, the one folder that driver and executors
+share. Only a local session, as in tests, may go without that setting; it then gets a
+folder of its own.
+"""
+
+from __future__ import annotations
+
+import atexit
+import contextlib
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, without a trailing slash."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("tablewright.scratch.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tablewright-")
+        spark.conf.set("tablewright.scratch.dir", base)
+    return base.rstrip("/")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder through Hadoop's file systems, so any store will do."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Scratch:
+    """A folder for one call of an operator.
+
+    Results that are returned lazily still read from it, so it stays until the session
+    ends; what only serves an inner step is dropped as soon as that step is over.
+    """
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark = spark
+        self.path = f"{shared_dir(spark)}/tablewright/{name}-{uuid.uuid4().hex}"
+        atexit.register(self._at_exit)
+
+    def at(self, name: str) -> str:
+        return f"{self.path}/{name}"
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes ``df`` and reads it again: the plan that follows starts at files that outlive any executor."""
+        df.write.mode("overwrite").parquet(self.at(name))
+        return self.spark.read.schema(df.schema).parquet(self.at(name))
+
+    def drop(self, name: str) -> None:
+        remove(self.spark, self.at(name))
+
+    def _at_exit(self) -> None:
+        with contextlib.suppress(Exception):  # the JVM may have gone first
+            remove(self.spark, self.path)

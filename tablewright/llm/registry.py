@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import exact_dedup
+from tablewright.llm import exact_dedup, mixing, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op7_source_mix": mixing.op7_source_mix,
+        "op9_url_filter": url_filter.op9_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.OP1_SQL,
+        "op7_source_mix": mixing.OP7_SQL,
+        "op9_url_filter": url_filter.OP9_SQL,
     }

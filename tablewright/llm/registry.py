@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import exact_dedup, mixing, url_filter
+from tablewright.llm import exact_dedup, mixing, token_counts, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op7_source_mix": mixing.op7_source_mix,
         "op9_url_filter": url_filter.op9_url_filter,
+        "op10_token_counts": token_counts.op10_token_counts,
     }
 
 

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import exact_dedup, mixing, quality, token_counts, url_filter
+from tablewright.llm import exact_dedup, mixing, pii, quality, token_counts, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op3_personal_data": pii.op3_personal_data,
         "op4_quality_scores": quality.op4_quality_scores,
         "op7_source_mix": mixing.op7_source_mix,
         "op9_url_filter": url_filter.op9_url_filter,

@@ -107,9 +107,19 @@ class ExactDedup:
     def _full(self) -> DataFrame:
         return self.docs.select(self.id.alias("doc_id"), self.text.alias("body"), self.digest(self.text).alias("digest"), F.octet_length(self.text).cast("long").alias("n_bytes"))
 
+    @staticmethod
+    def digest_bucket(digest: Column) -> Column:
+        """One of 2^18 buckets: a set of them may be broadcast, whatever the size of the corpus."""
+        return F.pmod(F.xxhash64(digest), F.lit(1 << 18)).cast("int")
+
     def _clashing_digests(self) -> DataFrame | None:
-        """Digests whose rows differ in bytes from the row that stays; None if there is no such digest."""
-        full = self._full()
+        """Digests whose rows differ in bytes from the row that stays; None if there is no such digest.
+
+        Only texts in buckets that hold a hit are moved; the buckets are at most 2^18 integers.
+        """
+        bucket = self.digest_bucket(F.col("digest"))
+        buckets = self.hits.select(bucket.alias("bucket")).distinct()
+        full = self._full().withColumn("bucket", bucket).join(F.broadcast(buckets), "bucket", "left_semi").drop("bucket")
         kept = self.hits.select("digest", "n_bytes", "keep_id")
         first = full.join(kept, ["digest", "n_bytes"]).filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
         first = first.select("digest", "n_bytes", F.col("body").alias("kept_body"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import exact_dedup, mixing, pii, quality, token_counts, url_filter
+from tablewright.llm import exact_dedup, line_dedup, mixing, pii, quality, token_counts, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_personal_data": pii.op3_personal_data,
         "op4_quality_scores": quality.op4_quality_scores,
         "op7_source_mix": mixing.op7_source_mix,
+        "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_url_filter": url_filter.op9_url_filter,
         "op10_token_counts": token_counts.op10_token_counts,
     }
@@ -24,5 +25,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.OP1_SQL,
         "op7_source_mix": mixing.OP7_SQL,
+        "op8_line_dedup": line_dedup.OP8_SQL,
         "op9_url_filter": url_filter.OP9_SQL,
     }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import exact_dedup, line_dedup, mixing, near_dedup, pii, quality, token_counts, url_filter
+from tablewright.llm import exact_dedup, line_dedup, mixing, near_dedup, ngram_lm, pii, quality, token_counts, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_personal_data": pii.op3_personal_data,
         "op4_quality_scores": quality.op4_quality_scores,
         "op5_near_duplicates": near_dedup.op5_near_duplicates,
+        "op6_ngram_scores": ngram_lm.op6_ngram_scores,
         "op7_source_mix": mixing.op7_source_mix,
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_url_filter": url_filter.op9_url_filter,

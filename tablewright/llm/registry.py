@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import exact_dedup, line_dedup, mixing, near_dedup, ngram_lm, pii, quality, token_counts, url_filter
+from tablewright.llm import decontaminate, exact_dedup, line_dedup, mixing, near_dedup, ngram_lm, pii, quality, token_counts, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_benchmark_leaks": decontaminate.op2_benchmark_leaks,
         "op3_personal_data": pii.op3_personal_data,
         "op4_quality_scores": quality.op4_quality_scores,
         "op5_near_duplicates": near_dedup.op5_near_duplicates,

@@ -65,9 +65,9 @@ def search_contains_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(_cells(spark, sf_dir, "part", "p_partkey", ["p_name"]), "BLUE", 0)
 
 
-@_query(_ids_sql("part", "p_partkey", "contains(p_type, 'BRASS') OR contains(p_type, 'brass') AND false"))
+@_query(_ids_sql("part", "p_partkey", "contains(p_type, 'ECONO')"))
 def search_contains_cs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(_cells(spark, sf_dir, "part", "p_partkey", ["p_type"]), "BRASS", 0, match_case=True)
+    return search.search(_cells(spark, sf_dir, "part", "p_partkey", ["p_type"]), "ECONO", 0, match_case=True)
 
 
 @_query(_ids_sql("events", "event_id", "lower(event_type) = 'click'"))
@@ -109,9 +109,9 @@ def search_index_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.SearchIndex(_cells(spark, sf_dir, "events", "event_id", ["event_type"])).search("Purchase", 0, whole_cell=True)
 
 
-@_query(_ids_sql("part", "p_partkey", "contains(lower(p_name), 'gre')"))
+@_query(_ids_sql("part", "p_partkey", "contains(lower(p_name), 'giz')"))
 def search_index_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.SearchIndex(_cells(spark, sf_dir, "part", "p_partkey", ["p_name"])).search("GRE", 0)
+    return search.SearchIndex(_cells(spark, sf_dir, "part", "p_partkey", ["p_name"])).search("GIZ", 0)
 
 
 @_query("SELECT lower(event_type) AS key, count(*) AS n, min(row_id) AS first_id, max(row_id) AS last_id FROM (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS row_id FROM events) GROUP BY 1")

@@ -48,7 +48,7 @@ def save(table: DataFrame, path: str, settings: ParseSettings, labels: list[str]
     _, made = hadoop_path(spark, work)
     terminator = settings.output_terminator().encode()
     parts = sorted((s for s in system.listStatus(parts_path) if s.getPath().getName().startswith("part-") and s.getLen()), key=lambda s: s.getPath().getName())
-    copy = spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.copyBytes
+    copy = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.copyLarge
     out = system.create(made, True)
     try:
         if settings.has_headers:
@@ -57,7 +57,7 @@ def save(table: DataFrame, path: str, settings: ParseSettings, labels: list[str]
             size = part.getLen() - (len(terminator) if n == len(parts) - 1 else 0)
             source = system.open(part.getPath())
             try:
-                copy(source, out, size, False)
+                copy(source, out, 0, size)
             finally:
                 source.close()
     finally:

@@ -9,10 +9,12 @@ in a denser region a node meets those with the longest common prefix, right befo
 the order, and the hub of the region, the node that most often lies in its most frequent
 leaf. For a family of copies that is the original, to which each copy is closest.
 
-Every link is confirmed on the full shingle sets of both texts, in two rounds: first each
+Every link is confirmed on the full shingle sets of both texts, in rounds: first each
 node's best candidate and the hubs, then whatever candidates still join different
-components. Links within one component could not change the result. Components come from
-alternating stars.
+components; links within one component could not change the result. In dense regions, where
+not all neighbours are candidates, the nodes that are still apart from their hub are the
+rest: their signatures are held, in blocks, against those of all nodes of dense regions.
+Components come from alternating stars.
 
 Scale: one scan makes signatures, which are written once. The orders are range-partitioned
 by prefix, sequence and node, so a huge region spans many tasks; rows at the ends of
@@ -39,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm.graph import components
-from tablewright.llm.scratch import Scratch
+from tablewright.storage import Scratch
 from tablewright.llm.words import WordHashes, as_bytes, lowered_words, map_batches, mixed, shingles
 
 
@@ -94,6 +96,9 @@ def sketch(docs: DataFrame, settings: Settings, id_col: str = "doc_id", text_col
     return map_batches(rows, make, "doc_id long, n_shingles long, digest binary, signature binary")
 
 
+#: Signatures of strays that are held against the nodes of dense regions at a time: one megabyte.
+STRAYS = 4096
+
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("edge", pa.int64()), ("tree", pa.int32()), ("key", pa.binary()), ("node", pa.int64())])
 
 
@@ -247,6 +252,34 @@ def confirm(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame
     return map_batches(rows.select("a", "b", "text_a", "text_b"), make, "a long, b long")
 
 
+def _alike(nodes: DataFrame, block: list, settings: Settings) -> DataFrame:
+    """a < b: nodes whose signature agrees with that of a node of the block, in another component, as far as similar texts may.
+
+    An estimate from n minima has a standard error of sqrt(s (1 - s) / n); four of them are allowed for.
+    """
+    n, share = settings.trees * settings.depth, settings.percent / 100
+    least = int(n * (share - 4 * (share * (1 - share) / n) ** 0.5))
+    ids = np.array([r["node"] for r in block], dtype=np.int64)
+    of = np.array([r["component"] for r in block], dtype=np.int64)
+    held = nodes.sparkSession.sparkContext.broadcast((ids, of, np.frombuffer(b"".join(r["signature"] for r in block), dtype=">u2").astype(np.uint16).reshape(len(ids), n)))
+
+    def make():
+        ids, of, signatures = held.value
+
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            a, b = [], []
+            for node, component, signature in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                equal = (signatures == np.frombuffer(signature, dtype=">u2").astype(np.uint16)).sum(axis=1)
+                others = ids[(equal >= least) & (of != component)].tolist()
+                a += [min(node, x) for x in others]
+                b += [max(node, x) for x in others]
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        return each
+
+    return map_batches(nodes.select("node", "component", "signature"), make, "a long, b long")
+
+
 class NearDedup:
     """Groups a table's documents; ``groups`` has one row per document."""
 
@@ -270,9 +303,37 @@ class NearDedup:
         rest = pairs.select("a", "b").join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
         rest = scratch.table(rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "rest")
         more = scratch.table(confirm(rest, texts, settings), "links-2").withColumnsRenamed({"a": "u", "b": "v"})
-        stars = components(links.union(more), scratch, "components-2")
+        links = links.union(more)
+        stars = components(links, scratch, "components-2")
+        last = self._stray_links(pairs, stars, texts, settings, scratch)
+        if last is not None:
+            stars = components(links.union(last), scratch, "components-3")
         self.members = scratch.table(self.classes.join(stars, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id")), "members")
 
+    def _stray_links(self, pairs: DataFrame, stars: DataFrame, texts: DataFrame, settings: Settings, scratch: Scratch) -> DataFrame | None:
+        """Links of nodes in dense regions that their hubs did not reach; None if there are no such nodes.
+
+        The strays are held against all nodes of dense regions, some thousands at a time, by
+        their whole signatures; what looks similar enough is confirmed like any candidate.
+        """
+        of = lambda side: stars.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+        hubs = pairs.filter("hub").select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+        hubs = scratch.table(hubs.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")), "hub-components")
+        ends = lambda rows: rows.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ca").alias("component")), F.struct(F.col("b").alias("node"), F.col("cb").alias("component")))).alias("x")).select("x.*").distinct()
+        strays = ends(hubs.filter("ca <> cb"))
+        if strays.isEmpty():
+            return None
+        signed = self.classes.select("node", "signature").filter("node is not null").dropDuplicates(["node"])
+        strays = scratch.table(strays.join(signed, "node"), "strays")
+        dense = scratch.table(ends(hubs).join(signed, "node"), "dense-signatures")
+        n_blocks = strays.count() // STRAYS + 1
+        found = None
+        for block in range(n_blocks):
+            held = strays.filter(F.pmod(F.xxhash64("node"), F.lit(n_blocks)) == block).collect()
+            alike = scratch.table(_alike(dense, held, settings).distinct(), f"alike-{block}")
+            found = alike if found is None else found.union(alike)
+        return scratch.table(confirm(found.distinct(), texts, settings), "links-3").withColumnsRenamed({"a": "u", "b": "v"})
+
     def groups(self) -> DataFrame:
         """doc_id, n_shingles, component_id, kept."""
         rows = self.sketch.select("doc_id", "n_shingles", "digest").join(self.members, "digest", "left")

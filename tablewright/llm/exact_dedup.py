@@ -25,7 +25,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm.scratch import Scratch
+from tablewright.storage import Scratch
 
 #: State store settings while a stream starts; a stream keeps the settings it started with.
 STATE_CONF = {
@@ -152,16 +152,16 @@ class ExactDedup:
 
     def survivors(self) -> DataFrame:
         """The rows that stay, with the columns of the input."""
-        columns = self.docs.columns
+        text = self.text
+        rows = self.docs.select(F.struct("*").alias("row"), self.id.alias("doc_id"), text.alias("body"), self.digest(text).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
         if self.clashes is not None:
-            marked = self.docs.withColumns({"__id": self.id, "__body": self.text})
-            return marked.orderBy(F.desc("__id")).dropDuplicates(["__body"]).select(*columns)
-        marked = self.docs.withColumns({"__id": self.id, "digest__": self.digest(self.text), "n_bytes__": F.octet_length(self.text).cast("long")})
-        hits = self.hits.select(F.col("digest").alias("digest__"), F.col("n_bytes").alias("n_bytes__"), F.col("keep_id").alias("__keep"), F.col("n").alias("__n"))
-        rows = marked.join(hits, ["digest__", "n_bytes__"], "left").filter(F.col("__n").isNull() | F.col("__id").eqNullSafe(F.col("__keep")))
+            kept = rows.groupBy("digest", "n_bytes", "body").agg(F.max(F.struct("doc_id", "row")).alias("keep"))
+            return kept.select("keep.row.*")
+        hits = self.hits.select("digest", "n_bytes", "keep_id", "n")
+        rows = rows.drop("body").join(hits, ["digest", "n_bytes"], "left").filter(F.col("n").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id")))
         if self._repeated_ids():
-            rows = rows.dropDuplicates(["digest__", "n_bytes__"])
-        return rows.select(*columns)
+            rows = rows.dropDuplicates(["digest", "n_bytes"])
+        return rows.select("row.*")
 
     def _repeated_ids(self) -> bool:
         """Whether rows that stay share both text and identifier."""

@@ -9,9 +9,10 @@ document that crosses it is taken in part. A budget above the source's size repe
 epochs before the cut.
 
 Scale: one scan of the texts makes slim rows, which are written once; they are shuffled
-once by bucket and sorted there. The number of buckets follows the number of rows, so a
-source with a third of all rows has a third of the buckets. The table of sources is the
-only one that meets in one task: it has one row per source, like the weights given for it.
+once by source and bucket and sorted there. The number of buckets follows the number of
+rows, so a source with a third of all rows meets in as many tasks as there are buckets; it
+has a bound, so that the sums of one source's buckets fit one task. The table of sources
+meets in one task as well: it has one row per source, like the weights given for it.
 
 Defined results: a null text has size 0; a null source is a source of its own, ordered
 last; rows that are equal in identifier and text share their key and are interchangeable;
@@ -26,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.scratch import Scratch
+from tablewright.storage import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -39,6 +40,7 @@ class MixPlan:
     share: float = 1.5
     max_epochs: float = 2.0
     rows_per_bucket: int = 20_000
+    most_buckets: int = 1 << 16
 
 
 def word_count(text: Column) -> Column:
@@ -75,7 +77,7 @@ def mix(docs: DataFrame, plan: MixPlan | None = None, id_col: str = "doc_id", te
     scratch = Scratch(docs.sparkSession, "mixing")
     keyed = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"), word_count(docs[text_col]).alias("size"), mix_key(docs[id_col], docs[text_col]).alias("mix_key"))
     keyed = scratch.table(keyed, "keyed")
-    n_buckets = max(1, keyed.count() // plan.rows_per_bucket)
+    n_buckets = min(max(1, keyed.count() // plan.rows_per_bucket), plan.most_buckets)
     # The first 7 hex digits as a number below 2^28, cut into equal ranges: buckets in the order of the keys.
     bucket = F.floor(F.conv(F.substring("mix_key", 1, 7), 16, 10).cast("long") * F.lit(n_buckets) / F.lit(1 << 28)).cast("long")
     rows = keyed.withColumn("bucket", bucket)
@@ -104,10 +106,12 @@ def apply_mix(docs: DataFrame, plan: MixPlan | None = None, id_col: str = "doc_i
     """
     each = F.floor(F.sum("taken") / F.count(F.lit(1)))
     taken = mix(docs, plan, id_col, text_col, source_col).groupBy("mix_key").agg(F.max("size").alias("size"), each.alias("taken")).filter("taken > 0")
-    keyed = docs.withColumn("mix_key", mix_key(docs[id_col], docs[text_col])).join(taken, "mix_key")
-    copies = keyed.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("taken") - 1) / F.col("size")))))
+    own = [c for c in docs.columns if c not in ("mix_epoch", "mix_words")]
+    rows = docs.select(F.struct(*own).alias("row"), mix_key(docs[id_col], docs[text_col]).alias("mix_key")).join(taken, "mix_key")
+    epochs = F.floor((F.col("taken") - 1) / F.col("size"))
+    copies = rows.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), epochs)))
     words = F.least(F.col("size"), F.col("taken") - F.col("mix_epoch") * F.col("size"))
-    return copies.select(*docs.columns, "mix_epoch", words.alias("mix_words"))
+    return copies.select("row.*", "mix_epoch", words.alias("mix_words"))
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

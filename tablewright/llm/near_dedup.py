@@ -349,3 +349,29 @@ class NearDedup:
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its group of near copies, on shingles of four words."""
     return NearDedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), Settings(words=4)).groups()
+
+
+OP5_SQL = r"""
+WITH RECURSIVE cut AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+                 ELSE list_distinct(list_transform(range(1, len(words) - 2), lambda i: concat_ws(' ', words[i], words[i + 1], words[i + 2], words[i + 3]))) END AS shingles
+  FROM cut
+), sizes AS (
+  SELECT doc_id, len(shingles) AS n FROM sets
+), each AS (
+  SELECT doc_id, unnest(shingles) AS shingle FROM sets
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM each a JOIN each b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT c.a, c.b FROM common c JOIN sizes x ON x.doc_id = c.a JOIN sizes y ON y.doc_id = c.b WHERE 100 * c.n >= 80 * (x.n + y.n - c.n)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM sizes
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+SELECT s.doc_id, s.n AS n_shingles, min(r.b) AS component_id, s.doc_id = min(r.b) AS kept
+FROM sizes s JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, s.n
+"""

@@ -15,7 +15,8 @@ fold are never used. A score depends on the text alone.
 Scale: fitting reads the labels and shuffles only the sampled documents; scoring is a map
 over whole texts without shuffle, with about 200 KB of dictionaries broadcast.
 
-Defined results: a null text counts as empty and is scored like any text; a label of null
+Defined results: a null text counts as empty and is scored like any text; a null doc_id is
+not held out and has no label; a label of null
 or a label without a document is ignored; a document labelled more than once is good only
 if all its labels are; with no labels, or of one class only, every score is that class's
 share (1 without labels); repeated rows give equal scores; other columns are ignored.
@@ -47,7 +48,7 @@ class Settings:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
 @dataclass(frozen=True)
@@ -115,7 +116,8 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, settings: Settings) -> l
     # The smallest hashes are chosen among identifiers alone, before any text is moved; a null or missing text leaves its place empty.
     order = Window.partitionBy("good").orderBy(F.xxhash64("id"), "id")
     chosen = marks.filter("good").orderBy(F.xxhash64("id"), "id").limit(settings.per_class).union(marks.filter("not good").orderBy(F.xxhash64("id"), "id").limit(settings.per_class))
-    rows = texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"])
+    # Rows that share an identifier are one document; which text of several stands for it must not vary.
+    rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "good").agg(F.max("text").alias("text"))
     size = F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     rows = rows.dropna().withColumn("so_far", size).filter(F.col("so_far") <= settings.class_bytes)
     return sorted(rows.select("good", F.xxhash64("id").alias("h"), "id", "text").collect(), key=lambda r: (r["h"], r["id"]))

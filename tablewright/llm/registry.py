@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.OP1_SQL,
+        "op5_near_duplicates": near_dedup.OP5_SQL,
         "op7_source_mix": mixing.OP7_SQL,
         "op8_line_dedup": line_dedup.OP8_SQL,
         "op9_url_filter": url_filter.OP9_SQL,

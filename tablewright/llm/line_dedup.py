@@ -109,7 +109,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = LineDedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).result()
     spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
     kept_in = F.array_join(F.transform("removed", lambda s: s["kept_in"].cast("string")), ",")
-    return found.select("doc_id", F.size("removed").cast("long").alias("n_removed"), spans.alias("removed"), kept_in.alias("kept_in"), "clean_text")
+    return found.select("doc_id", (F.size("removed") > 0).alias("changed"), F.size("removed").cast("long").alias("n_removed"), spans.alias("removed"), kept_in.alias("kept_in"), "clean_text")
 
 
 OP8_SQL = r"""
@@ -127,7 +127,7 @@ WITH parts AS (
          min(doc_id) OVER (PARTITION BY unit) AS kept_in
   FROM counted
 )
-SELECT any_value(doc_id) AS doc_id, count(*) FILTER (WHERE gone) AS n_removed,
+SELECT any_value(doc_id) AS doc_id, bool_or(gone) AS changed, count(*) FILTER (WHERE gone) AS n_removed,
        coalesce(string_agg(start || ':' || (start + length(part)), ',' ORDER BY n) FILTER (WHERE gone), '') AS removed,
        coalesce(string_agg(kept_in, ',' ORDER BY n) FILTER (WHERE gone), '') AS kept_in,
        coalesce(string_agg(part, chr(10) ORDER BY n) FILTER (WHERE NOT gone), '') AS clean_text

@@ -277,7 +277,15 @@ def csv_split_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file read in many splits: ids are still dense and in file order."""
     scratch = Scratch(spark, "split-read")
     sink.save(_cells(spark, sf_dir, "events", "event_id", ["event_id", "event_type", "props"]), scratch.at("events.csv"), ParseSettings(delimiter="\t"), ["event_id", "event_type", "props"])
-    return Source(spark, scratch.at("events.csv"), {"has_headers": True, "delimiter": "tab", "quote": "double", "escape": "none", "line_ending": "lf"}, splittable=True).table()
+    return Source(spark, scratch.at("events.csv"), {"has_headers": True, "delimiter": "tab", "quote": "double", "escape": "none", "line_ending": "lf"}, reading="lines").table()
+
+
+@_query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_id, doc_id::VARCHAR AS c0, text AS c1, lang AS c2 FROM documents")
+def csv_record_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file with quoted line breaks, divided at the ends of records."""
+    scratch = Scratch(spark, "record-read")
+    sink.save(_cells(spark, sf_dir, "documents", "doc_id", ["doc_id", "text", "lang"]), scratch.at("documents.csv"), ParseSettings(line_ending="lf"), ["doc_id", "text", "lang"])
+    return Source(spark, scratch.at("documents.csv"), {"has_headers": True, "line_ending": "lf", "delimiter": ",", "quote": "double", "escape": "none"}, reading="records").table()
 
 
 def _ragged(spark: SparkSession, sf_dir: str, malformed: str) -> Source:

@@ -41,9 +41,9 @@ class TableSession:
         pending, self.pending = self.pending, None
         return pending
 
-    def load(self, path: str, overrides: dict | None = None, splittable: bool = False) -> Metadata:
+    def load(self, path: str, overrides: dict | None = None, reading: str = "whole") -> Metadata:
         """Opens a file: dialect, labels and an estimate of its rows. Rows are read when first asked for."""
-        self.source = Source(self.spark, path, overrides, splittable)
+        self.source = Source(self.spark, path, overrides, reading)
         self._forget()
         self.artefacts.prune()
         self.key = source_key(self.spark, path, self.source.settings)
@@ -169,4 +169,4 @@ class TableSession:
         target = path or self.source.path
         sink.save(self.view(), target, self.source.settings, self.source.metadata.headers)
         if own:
-            self.load(target, {"has_headers": self.source.settings.has_headers} | (self.source.overrides or {}) | {"encoding": "utf-8"}, self.source.splittable)
+            self.load(target, {"has_headers": self.source.settings.has_headers} | (self.source.overrides or {}) | {"encoding": "utf-8"}, self.source.reading)

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from tablewright.functions.text import has_replacement, truncate_utf8
 from tablewright.sources import sniff
+from tablewright.sources.records import split_records
 from tablewright.sources.settings import ParseSettings, with_overrides
 
 WARNING_LIMIT = 200
@@ -66,15 +67,22 @@ class Metadata:
 
 @dataclass
 class Source:
-    """A delimited file opened with settings. ``splittable`` trades quoted line breaks for parallel reading of one file."""
+    """A delimited file opened with settings.
+
+    ``reading`` says how one file is divided among tasks: ``whole`` not at all, which takes any
+    file; ``lines`` at line breaks, for files without quoted ones; ``records`` at the ends of
+    records, for files whose quotes are balanced.
+    """
 
     spark: SparkSession
     path: str
     overrides: dict | None = None
-    splittable: bool = False
+    reading: str = "whole"
     metadata: Metadata = field(init=False)
 
     def __post_init__(self) -> None:
+        if self.reading not in ("whole", "lines", "records"):
+            raise ValueError("reading must be whole, lines or records")
         found = sniff.sniff(self.spark, self.path)
         effective = with_overrides(found.settings, self.overrides)
         labels = sniff.labels_of(found.sample, effective)
@@ -91,16 +99,36 @@ class Source:
     def _scan(self) -> DataFrame:
         """Every record, with the raw text of those whose number of fields is wrong."""
         s = self.settings
-        options = {"sep": s.delimiter, "quote": s.quote, "escape": s.escape or s.quote, "header": s.has_headers, "enforceSchema": True, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT, "encoding": s.encoding, "multiLine": not self.splittable, "columnPruning": False, "maxCharsPerColumn": -1, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "maxColumns": max(20480, len(self.cells) + 1)}
-        if s.terminator() and not (self.splittable and s.line_ending == "crlf"):
+        if self.reading == "records":
+            return self._scan_records()
+        options = {"sep": s.delimiter, "quote": s.quote, "escape": s.escape or s.quote, "header": s.has_headers, "enforceSchema": True, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT, "encoding": s.encoding, "multiLine": self.reading == "whole", "columnPruning": False, "maxCharsPerColumn": -1, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "maxColumns": max(20480, len(self.cells) + 1)}
+        if s.terminator() and not (self.reading == "lines" and s.line_ending == "crlf"):
             options["lineSep"] = s.terminator()
         if s.encoding == "windows-1252":
             self.spark.conf.set("spark.sql.legacy.javaCharsets", "true")
         schema = T.StructType([T.StructField(c, T.StringType()) for c in [*self.cells, _CORRUPT]])
         return self.spark.read.options(**options).schema(schema).csv(self.path)
 
+    def _scan_records(self) -> DataFrame:
+        """The same from records split in parallel; their order is in __file, __start and __seq."""
+        s = self.settings
+        records = split_records(self.spark, self.path, s)
+        raw = F.when((F.col("start") == 0) & (F.col("seq") == 0), F.regexp_replace("raw", "^\ufeff", "")).otherwise(F.col("raw"))
+        records = records.withColumn("raw", raw).filter(F.length(F.trim("raw")) > 0)
+        if s.has_headers:
+            first = records.groupBy("file").agg(F.min(F.struct("start", "seq")).alias("first"))
+            records = records.join(F.broadcast(first), "file").filter(F.struct("start", "seq") != F.col("first"))
+        schema = ", ".join(f"{c} string" for c in [*self.cells, _CORRUPT])
+        options = {"sep": s.delimiter, "quote": s.quote, "escape": s.escape or s.quote, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT, "maxCharsPerColumn": "-1", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "lineSep": "\n", "maxColumns": str(max(20480, len(self.cells) + 1))}
+        parsed = records.select(F.col("file").alias("__file"), F.col("start").alias("__start"), F.col("seq").alias("__seq"), F.from_csv("raw", schema, options).alias("row"))
+        return parsed.select("__file", "__start", "__seq", "row.*")
+
     def _numbered(self, rows: DataFrame) -> DataFrame:
         """``rows``, straight from a scan, with dense ids in file order as ``row_id``."""
+        if self.reading == "records":
+            from tablewright.operators.ordering import dense_rank_ids
+
+            return dense_rank_ids(rows, [F.col("__file"), F.col("__start"), F.col("__seq")], "row_id").drop("__file", "__start", "__seq")
         split = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start")]
         placed = rows.select("*", *split).withColumn("__place", F.monotonically_increasing_id())
         counts = placed.groupBy("__file", "__start").agg(F.count(F.lit(1)).alias("n"), F.min("__place").alias("first")).orderBy("__file", "__start").collect()

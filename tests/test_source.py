@@ -120,7 +120,7 @@ def test_ids_do_not_depend_on_splits(spark, write):
     for size in ("20k", "128m"):
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
         spark.conf.set("spark.sql.files.openCostInBytes", "1k")
-        table = Source(spark, path, {"has_headers": True, "delimiter": "tab"}, splittable=True).table()
+        table = Source(spark, path, {"has_headers": True, "delimiter": "tab"}, reading="lines").table()
         found[size] = table.rdd.getNumPartitions(), [tuple(r) for r in table.orderBy("row_id").select("row_id", "c0").collect()]
     spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     spark.conf.unset("spark.sql.files.openCostInBytes")
@@ -147,3 +147,34 @@ def test_empty_files_and_tables(spark, write, tmp_path):
     assert (tmp_path / "none.csv").read_text() == "a"
     assert from_table(spark.createDataFrame([], "k long, v string"), "k").count() == 0
     assert paging.page(table, 0, 10).count() == 0
+
+
+@pytest.mark.parametrize("size", [150, 1000, 1 << 20])
+@pytest.mark.parametrize("ending", ["lf", "crlf"])
+def test_records_cut_by_splits(spark, write, size, ending):
+    """Quoted line breaks in a file that is divided anywhere, also with cells over several splits."""
+    import random
+
+    draw, end = random.Random(size), "\n" if ending == "lf" else "\r\n"
+    cell = lambda: "".join(draw.choices(["a", "b", ",", '"', end, "é", " "], k=draw.randrange(8) if draw.random() < 0.95 else 400))
+    rows = [(i, str(i), cell(), cell()) for i in range(60)]
+    quoted = lambda x: '"' + x.replace('"', '""') + '"'
+    text = "k,a,b" + end + "".join(f"{k},{quoted(a)},{quoted(b)}{end}" for _, k, a, b in rows)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        given = {"has_headers": True, "delimiter": ",", "quote": "double", "escape": "none", "line_ending": ending}
+        assert cells(Source(spark, write(text, f"r{size}{ending}.csv"), given, reading="records")) == rows
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_records_follow_the_policy(spark, write):
+    path = write('a,b,c\n1,x,p\n\n2,y\n3,"z\nz",q,EXTRA\n4,,""\n5,"w\nw",r\n')
+    found = {m: cells(Source(spark, path, {"has_headers": True, "malformed": m, "delimiter": ",", "line_ending": "lf"}, reading="records")) for m in ("skip", "repair")}
+    assert found["skip"] == [(0, "1", "x", "p"), (1, "4", "", ""), (2, "5", "w\nw", "r")]
+    assert found["repair"] == [(0, "1", "x", "p"), (1, "2", "y", ""), (2, "3", "z\nz", "q"), (3, "4", "", ""), (4, "5", "w\nw", "r")]
+    warned = Source(spark, path, {"has_headers": True, "delimiter": ",", "line_ending": "lf"}, reading="records").warnings().collect()
+    assert [(w["record"], w["kind"], w["len"]) for w in warned] == [(1, "unequal-lengths", 2), (2, "unequal-lengths", 4)]

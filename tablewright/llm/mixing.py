@@ -39,7 +39,7 @@ class MixPlan:
     weights: tuple[float, ...] = (3.0, 1.0, 2.0)
     share: float = 1.5
     max_epochs: float = 2.0
-    rows_per_bucket: int = 20_000
+    rows_per_bucket: int = 4_000
     most_buckets: int = 1 << 16
 
 

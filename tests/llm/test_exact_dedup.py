@@ -1,4 +1,5 @@
 import hashlib
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,6 +61,9 @@ def test_state_lives_on_between_runs(spark):
     for part in ([(1, "a"), (2, "b")], [(3, "a"), (4, "c")]):
         ingest_log(spark.createDataFrame(part, "doc_id long, text string")).write.mode("append").parquet(scratch.at("log"))
         run_stream(spark.readStream.schema(spark.read.parquet(scratch.at("log")).schema).parquet(scratch.at("log")), scratch.at("state"))
+    names = {p.suffix for p in Path(scratch.at("state").removeprefix("file://")).rglob("*") if "state" in p.parts}
+    assert names & {".changelog", ".zip"}  # RocksDB on disk, not a map in memory
+    assert ".delta" not in names
     state = {r["digest"]: (r["keep_id"], r["n"]) for r in read_state(spark, scratch.at("state")).collect()}
     of = lambda t: hashlib.sha256(t.encode()).hexdigest()
     assert state == {of("a"): (3, 2), of("b"): (2, 1), of("c"): (4, 1)}

@@ -81,7 +81,7 @@ def test_one_class_is_its_share(spark, labels, expected):
 def test_sample_is_bounded(spark):
     docs, labels = make(300)
     small = Settings(per_class=20, class_bytes=4000)
-    rows = quality.sample_labelled(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS), small)
+    rows = quality.sample_labelled(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS), small).collect()
     for good in (True, False):
         mine = [r for r in rows if r["good"] is good]
         assert 0 < len(mine) <= 20

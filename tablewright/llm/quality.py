@@ -12,18 +12,20 @@ smallest hash of their identifier, and of those no more than ``class_bytes`` byt
 of them trains the calibration and is not in the dictionaries. Documents in the held-out
 fold are never used. A score depends on the text alone.
 
-Scale: fitting reads the labels and shuffles only the sampled documents; scoring is a map
-over whole texts without shuffle, with about 200 KB of dictionaries broadcast.
+Scale: fitting reads the labels, shuffles only the sampled documents and trains in one task
+on them, whose size the settings bound; scoring is a map over whole texts without shuffle,
+with about 200 KB of dictionaries broadcast.
 
 Defined results: a null text counts as empty and is scored like any text; a null doc_id is
-not held out and has no label; a label of null
-or a label without a document is ignored; a document labelled more than once is good only
-if all its labels are; with no labels, or of one class only, every score is that class's
-share (1 without labels); repeated rows give equal scores; other columns are ignored.
+not held out and has no label; a label of null or without a document is ignored; a document
+labelled more than once is good only if all its labels are; with no labels, or of one class
+only, every score is that class's share (1 without labels); repeated rows give equal
+scores; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -108,8 +110,8 @@ class Sizes:
         return np.array(rows, dtype=np.float64).reshape(len(rows), 5)
 
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, settings: Settings) -> list:
-    """At most ``per_class`` rows (good, text) of each class, in the order of their hashes, with ``class_bytes`` of text."""
+def sample_labelled(docs: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
+    """At most ``per_class`` rows (good, h, id, text) of each class, in the order of their hashes, with ``class_bytes`` of text."""
     marks = labels.select(labels["doc_id"].cast("long").alias("id"), labels["quality"].alias("quality")).dropna()
     marks = marks.filter(~held_out(F.col("id"))).groupBy("id").agg((F.min("quality") == 1).alias("good"))
     texts = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].cast("string").alias("text"))
@@ -119,8 +121,7 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, settings: Settings) -> l
     # Rows that share an identifier are one document; which text of several stands for it must not vary.
     rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "good").agg(F.max("text").alias("text"))
     size = F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.dropna().withColumn("so_far", size).filter(F.col("so_far") <= settings.class_bytes)
-    return sorted(rows.select("good", F.xxhash64("id").alias("h"), "id", "text").collect(), key=lambda r: (r["h"], r["id"]))
+    return rows.dropna().withColumn("so_far", size).filter(F.col("so_far") <= settings.class_bytes).select("good", F.xxhash64("id").alias("h"), "id", "text")
 
 
 def _dictionary(texts: list[bytes], settings: Settings) -> bytes:
@@ -146,10 +147,10 @@ def _regression(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> np.ndarray
     return weights
 
 
-def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> Model:
-    settings = settings or Settings()
-    rows = sample_labelled(docs, labels, settings)
-    good, bad = ([r["text"].encode() for r in rows if r["good"] is mark] for mark in (True, False))
+def trained(rows: list[tuple[bool, int, int, str]], settings: Settings) -> Model:
+    """A model of sampled rows (good, h, id, text), whatever their order."""
+    rows = sorted(rows, key=lambda r: r[1:3])
+    good, bad = ([r[3].encode() for r in rows if r[0] is mark] for mark in (True, False))
     nothing = np.zeros(5)
     if len(good) < 3 or len(bad) < 3:
         share = len(good) / len(rows) if rows else 1.0
@@ -162,6 +163,18 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
     return Model(settings, good_dictionary, bad_dictionary, mean, scale, _regression((x - mean) / scale, y))
 
 
+def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> Model:
+    """Trains in one task on the bounded sample; the driver sees only the model."""
+    settings = settings or Settings()
+
+    def run(batches):
+        rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(trained(rows, settings))], pa.binary())], names=["model"])
+
+    made = sample_labelled(docs, labels, settings).repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(made["model"]) if made else trained([], settings)
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score for every row."""
     held = docs.sparkSession.sparkContext.broadcast(model)

@@ -13,7 +13,7 @@ Every link is confirmed on the full shingle sets of both texts, in rounds: first
 node's best candidate and the hubs, then whatever candidates still join different
 components; links within one component could not change the result. In dense regions, where
 not all neighbours are candidates, the nodes that are still apart from their hub are the
-rest: their signatures are held, in blocks, against those of all nodes of dense regions.
+rest: they are held, in blocks, against all nodes of dense regions.
 Components come from alternating stars.
 
 Scale: one scan makes signatures, which are written once. The orders are range-partitioned
@@ -96,8 +96,8 @@ def sketch(docs: DataFrame, settings: Settings, id_col: str = "doc_id", text_col
     return map_batches(rows, make, "doc_id long, n_shingles long, digest binary, signature binary")
 
 
-#: Signatures of strays that are held against the nodes of dense regions at a time: one megabyte.
-STRAYS = 4096
+#: Strays that are held against the nodes of dense regions at a time, and bytes of their texts.
+STRAYS, STRAY_BYTES = 4096, 8 << 20
 
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("edge", pa.int64()), ("tree", pa.int32()), ("key", pa.binary()), ("node", pa.int64())])
 
@@ -252,32 +252,40 @@ def confirm(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame
     return map_batches(rows.select("a", "b", "text_a", "text_b"), make, "a long, b long")
 
 
-def _alike(nodes: DataFrame, block: list, settings: Settings) -> DataFrame:
-    """a < b: nodes whose signature agrees with that of a node of the block, in another component, as far as similar texts may.
+def _links_with(nodes: DataFrame, block: list, settings: Settings) -> DataFrame:
+    """a < b: links of nodes with nodes of the block in other components.
 
-    An estimate from n minima has a standard error of sqrt(s (1 - s) / n); four of them are allowed for.
+    Signatures are compared first. An estimate from n minima has a standard error of
+    sqrt(s (1 - s) / n); four of them are allowed for. What is left is compared on the full
+    sets at once, so only links leave a task.
     """
     n, share = settings.trees * settings.depth, settings.percent / 100
     least = int(n * (share - 4 * (share * (1 - share) / n) ** 0.5))
-    ids = np.array([r["node"] for r in block], dtype=np.int64)
-    of = np.array([r["component"] for r in block], dtype=np.int64)
-    held = nodes.sparkSession.sparkContext.broadcast((ids, of, np.frombuffer(b"".join(r["signature"] for r in block), dtype=">u2").astype(np.uint16).reshape(len(ids), n)))
+    held = nodes.sparkSession.sparkContext.broadcast([(r["node"], r["component"], r["signature"], r["text"].encode()) for r in block])
 
     def make():
-        ids, of, signatures = held.value
+        rows, hashes, sets = held.value, WordHashes(), {}
+        ids, of = (np.array([r[i] for r in rows], dtype=np.int64) for i in (0, 1))
+        signatures = np.frombuffer(b"".join(r[2] for r in rows), dtype=">u2").astype(np.uint16).reshape(len(rows), n)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             a, b = [], []
-            for node, component, signature in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for node, component, signature, text in zip(*(batch.column(i).to_pylist() for i in range(3)), as_bytes(batch.column(3)), strict=True):
                 equal = (signatures == np.frombuffer(signature, dtype=">u2").astype(np.uint16)).sum(axis=1)
-                others = ids[(equal >= least) & (of != component)].tolist()
-                a += [min(node, x) for x in others]
-                b += [max(node, x) for x in others]
+                mine = None
+                for i in np.flatnonzero((equal >= least) & (of != component)).tolist():
+                    if mine is None:
+                        mine = shingles(hashes.of(lowered_words(text)), settings.words)
+                    if i not in sets:
+                        sets[i] = shingles(hashes.of(lowered_words(rows[i][3])), settings.words)
+                    if linked(mine, sets[i], settings.percent):
+                        a.append(min(node, int(ids[i])))
+                        b.append(max(node, int(ids[i])))
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         return each
 
-    return map_batches(nodes.select("node", "component", "signature"), make, "a long, b long")
+    return map_batches(nodes.select("node", "component", "signature", "text"), make, "a long, b long")
 
 
 class NearDedup:
@@ -313,8 +321,7 @@ class NearDedup:
     def _stray_links(self, pairs: DataFrame, stars: DataFrame, texts: DataFrame, settings: Settings, scratch: Scratch) -> DataFrame | None:
         """Links of nodes in dense regions that their hubs did not reach; None if there are no such nodes.
 
-        The strays are held against all nodes of dense regions, some thousands at a time, by
-        their whole signatures; what looks similar enough is confirmed like any candidate.
+        The strays are held against all nodes of dense regions, some thousands at a time.
         """
         of = lambda side: stars.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
         hubs = pairs.filter("hub").select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
@@ -323,16 +330,17 @@ class NearDedup:
         strays = ends(hubs.filter("ca <> cb"))
         if strays.isEmpty():
             return None
-        signed = self.classes.select("node", "signature").filter("node is not null").dropDuplicates(["node"])
+        signed = self.classes.select("node", "signature").filter("node is not null").dropDuplicates(["node"]).join(texts, "node")
         strays = scratch.table(strays.join(signed, "node"), "strays")
-        dense = scratch.table(ends(hubs).join(signed, "node"), "dense-signatures")
-        n_blocks = strays.count() // STRAYS + 1
+        dense = scratch.table(ends(hubs).join(signed, "node"), "dense-nodes")
+        size = strays.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+        n_blocks = max(size["n"] // STRAYS, (size["bytes"] or 0) // STRAY_BYTES) + 1
         found = None
         for block in range(n_blocks):
             held = strays.filter(F.pmod(F.xxhash64("node"), F.lit(n_blocks)) == block).collect()
-            alike = scratch.table(_alike(dense, held, settings).distinct(), f"alike-{block}")
-            found = alike if found is None else found.union(alike)
-        return scratch.table(confirm(found.distinct(), texts, settings), "links-3").withColumnsRenamed({"a": "u", "b": "v"})
+            links = scratch.table(_links_with(dense, held, settings), f"links-3-{block}")
+            found = links if found is None else found.union(links)
+        return found.withColumnsRenamed({"a": "u", "b": "v"})
 
     def groups(self) -> DataFrame:
         """doc_id, n_shingles, component_id, kept."""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablewright.llm import decontaminate, exact_dedup, line_dedup, mixing, near_dedup, ngram_lm, pii, quality, token_counts, url_filter
+from tablewright.llm import decontaminate, exact_dedup, line_dedup, mixing, near_dedup, ngram_lm, passage_dedup, pii, quality, token_counts, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,6 +24,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def further_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Queries beside the one of each operator: what op8's SQL does not ask for."""
+    return {"passage_dedup": passage_dedup.passage_dedup}
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.OP1_SQL,

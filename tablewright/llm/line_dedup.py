@@ -106,7 +106,16 @@ class LineDedup:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with what is removed of it, where that is kept, and its clean text."""
-    found = LineDedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).result()
+    return _listed(LineDedup(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+def every_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where every line that is not blank is a unit, however short."""
+    return _listed(LineDedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), min_words=1))
+
+
+def _listed(lines: LineDedup) -> DataFrame:
+    found = lines.result()
     spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
     kept_in = F.array_join(F.transform("removed", lambda s: s["kept_in"].cast("string")), ",")
     return found.select("doc_id", (F.size("removed") > 0).alias("changed"), F.size("removed").cast("long").alias("n_removed"), spans.alias("removed"), kept_in.alias("kept_in"), "clean_text")
@@ -133,3 +142,5 @@ SELECT any_value(doc_id) AS doc_id, bool_or(gone) AS changed, count(*) FILTER (W
        coalesce(string_agg(part, chr(10) ORDER BY n) FILTER (WHERE NOT gone), '') AS clean_text
 FROM ranked GROUP BY rid
 """
+
+EVERY_LINE_SQL = OP8_SQL.replace("len(words) >= 10", "len(words) >= 1")

@@ -26,7 +26,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def further_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries beside the one of each operator: what op8's SQL does not ask for."""
-    return {"passage_dedup": passage_dedup.passage_dedup}
+    return {"passage_dedup": passage_dedup.passage_dedup, "every_line_dedup": line_dedup.every_line_dedup}
+
+
+def further_sql() -> dict[str, str]:
+    return {"every_line_dedup": line_dedup.EVERY_LINE_SQL}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,5 +1,14 @@
+import duckdb
+import pytest
+
+from tablewright.llm import registry
 from tablewright.llm.line_dedup import LineDedup, cleaned
 
+from ..conftest import TESTDATA
+from ..test_entry import same
+
+SMALL = TESTDATA / "sf0.001"
+
 LONG = " ".join(f"w{i}" for i in range(60))
 OTHER = " ".join(f"v{i}" for i in range(12))
 
@@ -51,3 +60,17 @@ def test_one_line_in_very_many_documents(spark):
     found = run(spark, [(i, f"{LONG}\nown {i}") for i in range(500)])
     assert sum(len(r[1]) for r in found) == 499
     assert {r[2] for r in found if r[0]} == {f"own {i}" for i in range(1, 500)}
+
+
+def test_short_lines_are_units_of_every_line_dedup(spark, tmp_path):
+    rows = [(i, f"Yes.\n\nown {i}\n\nYES.") for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r["clean_text"] for r in registry.further_queries()["every_line_dedup"](spark, str(tmp_path)).collect()}
+    assert found == {i: f"{'Yes.' + chr(10) if not i else ''}\nown {i}\n" for i in range(300)}
+
+
+@pytest.mark.skipif(not SMALL.exists(), reason="needs the driver's tables")
+def test_every_line_dedup_equals_its_sql(spark):
+    with duckdb.connect() as connection:
+        connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+        same(registry.further_queries()["every_line_dedup"](spark, str(SMALL)).toPandas(), connection.execute(registry.further_sql()["every_line_dedup"]).df())

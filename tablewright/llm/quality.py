@@ -9,10 +9,12 @@ turns it into a calibrated score between 0 and 1.
 
 Training takes at most ``per_class`` labelled documents of each class, those with the
 smallest hash of their identifier, and of those no more than ``class_bytes`` bytes; a third
-of them trains the calibration and is not in the dictionaries. Documents in the held-out
-fold are never used. A score depends on the text alone.
+of them trains the calibration and is not in the dictionaries. The two classes may be cut by
+different shares, so the labels of all documents are counted and the regression's intercept is
+moved back to their odds. Documents in the held-out fold are never used. A score depends on
+the text alone.
 
-Scale: fitting reads the labels, shuffles only the sampled documents and trains in one task
+Scale: fitting counts the labels, shuffles only identifiers and the sampled documents and trains in one task
 on them, whose size the settings bound; scoring is a map over whole texts without shuffle,
 with about 200 KB of dictionaries broadcast.
 
@@ -110,10 +112,15 @@ class Sizes:
         return np.array(rows, dtype=np.float64).reshape(len(rows), 5)
 
 
+def _marks(labels: DataFrame) -> DataFrame:
+    """id, good of each labelled identifier outside the held-out fold."""
+    marks = labels.select(labels["doc_id"].cast("long").alias("id"), labels["quality"].alias("quality")).dropna()
+    return marks.filter(~held_out(F.col("id"))).groupBy("id").agg((F.min("quality") == 1).alias("good"))
+
+
 def sample_labelled(docs: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
     """At most ``per_class`` rows (good, h, id, text) of each class, in the order of their hashes, with ``class_bytes`` of text."""
-    marks = labels.select(labels["doc_id"].cast("long").alias("id"), labels["quality"].alias("quality")).dropna()
-    marks = marks.filter(~held_out(F.col("id"))).groupBy("id").agg((F.min("quality") == 1).alias("good"))
+    marks = _marks(labels)
     texts = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].cast("string").alias("text"))
     # The smallest hashes are chosen among identifiers alone, before any text is moved; a null or missing text leaves its place empty.
     order = Window.partitionBy("good").orderBy(F.xxhash64("id"), "id")
@@ -124,6 +131,13 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, settings: Settings) -> D
     return rows.dropna().withColumn("so_far", size).filter(F.col("so_far") <= settings.class_bytes).select("good", F.xxhash64("id").alias("h"), "id", "text")
 
 
+def class_counts(docs: DataFrame, labels: DataFrame) -> tuple[int, int]:
+    """The good and bad labelled documents with a text outside the held-out fold, sampled or not."""
+    texts = docs.filter(docs["text"].isNotNull()).select(docs["doc_id"].cast("long").alias("id"))
+    found = {r["good"]: r["count"] for r in _marks(labels).join(texts, "id", "left_semi").groupBy("good").count().collect()}
+    return found.get(True, 0), found.get(False, 0)
+
+
 def _dictionary(texts: list[bytes], settings: Settings) -> bytes:
     """A trained dictionary; of too little text, the text itself."""
     pieces = [t[i : i + settings.piece] for t in texts for i in range(0, len(t), settings.piece)]
@@ -147,32 +161,37 @@ def _regression(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> np.ndarray
     return weights
 
 
-def trained(rows: list[tuple[bool, int, int, str]], settings: Settings) -> Model:
-    """A model of sampled rows (good, h, id, text), whatever their order."""
+def trained(rows: list[tuple[bool, int, int, str]], settings: Settings, counts: tuple[int, int] | None = None) -> Model:
+    """A model of sampled rows (good, h, id, text), whatever their order; ``counts`` are the good and bad of all rows (these without)."""
     rows = sorted(rows, key=lambda r: r[1:3])
     good, bad = ([r[3].encode() for r in rows if r[0] is mark] for mark in (True, False))
     nothing = np.zeros(5)
     if len(good) < 3 or len(bad) < 3:
-        share = len(good) / len(rows) if rows else 1.0
+        n_good, n_bad = counts or (len(good), len(bad))
+        share = n_good / (n_good + n_bad) if n_good + n_bad else 1.0
         return Model(settings, b"", b"", nothing, nothing + 1, None, share)
     learn, test = (lambda t: [x for i, x in enumerate(t) if i % 3]), (lambda t: t[::3])
     good_dictionary, bad_dictionary = _dictionary(learn(good), settings), _dictionary(learn(bad), settings)
     x = Sizes(settings, good_dictionary, bad_dictionary).features(test(good) + test(bad))
     y = np.array([1.0] * len(test(good)) + [0.0] * len(test(bad)))
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    return Model(settings, good_dictionary, bad_dictionary, mean, scale, _regression((x - mean) / scale, y))
+    weights = _regression((x - mean) / scale, y)
+    n_good, n_bad = counts or (len(good), len(bad))
+    weights[-1] += np.log(n_good / n_bad) - np.log(len(test(good)) / len(test(bad)))
+    return Model(settings, good_dictionary, bad_dictionary, mean, scale, weights)
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> Model:
     """Trains in one task on the bounded sample; the driver sees only the model."""
     settings = settings or Settings()
+    counts = class_counts(docs, labels)
 
     def run(batches):
         rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(trained(rows, settings))], pa.binary())], names=["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(trained(rows, settings, counts))], pa.binary())], names=["model"])
 
     made = sample_labelled(docs, labels, settings).repartition(1).mapInArrow(run, "model binary").first()
-    return pickle.loads(made["model"]) if made else trained([], settings)
+    return pickle.loads(made["model"]) if made else trained([], settings, counts)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

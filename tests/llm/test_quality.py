@@ -91,3 +91,26 @@ def test_sample_is_bounded(spark):
 def test_folds(spark):
     rows = spark.range(60).withColumn("h", held_out(F.col("id"))).collect()
     assert [r["h"] for r in rows] == [zlib.crc32(str(i).encode()) % 5 == 0 for i in range(60)]
+
+
+def test_the_cap_does_not_move_the_prior(spark):
+    """A small sample, of as many good as bad, gives the odds of all labels: the cut at 0.3 stays where a large one has it."""
+    draw = random.Random(3)
+    words = ["".join(draw.choices("aeioulnrst", k=draw.randint(2, 8))) for _ in range(400)]
+    docs, labels = [], []
+    for i in range(2000):
+        good = draw.random() < 0.85
+        # The classes overlap: a text is a mixture of plain and loud words.
+        loud = draw.gauss(0.35 if good else 0.65, 0.15)
+        docs.append((i, " ".join(w.upper() + "!!" if draw.random() < loud else w for w in draw.choices(words, k=40)), "x", 0.5))
+        labels.append((i, int(good), 0))
+    frame, marks = spark.createDataFrame(docs, DOCS).repartition(4), spark.createDataFrame(labels, LABELS)
+    test = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5 == 0]
+    found = []
+    for per_class in (200, 3000):
+        scores = {r["doc_id"]: r["score"] for r in score(frame, fit(frame, marks, Settings(per_class=per_class))).collect()}
+        found.append(np.array([scores[i] for i in test]))
+    small, large = found
+    share = np.mean([labels[i][1] for i in test])
+    assert abs(small.mean() - share) < 0.05 and abs(large.mean() - share) < 0.05
+    assert np.mean((small >= quality.THRESHOLD) == (large >= quality.THRESHOLD)) > 0.93

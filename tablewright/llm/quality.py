@@ -8,7 +8,8 @@ byte themselves, which tell how much of a text merely repeats itself, a logistic
 turns it into a calibrated score between 0 and 1.
 
 Training takes at most ``per_class`` labelled documents of each class, those with the
-smallest hash of their identifier, and of those no more than ``class_bytes`` bytes; a third
+smallest hash of their identifier, and of those no more than ``class_bytes`` bytes: a text
+that does not fit into what is left is passed over, not those after it. A third
 of them trains the calibration and is not in the dictionaries. The two classes may be cut by
 different shares, so the labels of all documents are counted and the regression's intercept is
 moved back to their odds. Documents in the held-out fold are never used. A score depends on
@@ -33,7 +34,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm.words import as_bytes, map_batches
@@ -123,12 +124,26 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, settings: Settings) -> D
     marks = _marks(labels)
     texts = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].cast("string").alias("text"))
     # The smallest hashes are chosen among identifiers alone, before any text is moved; a null or missing text leaves its place empty.
-    order = Window.partitionBy("good").orderBy(F.xxhash64("id"), "id")
     chosen = marks.filter("good").orderBy(F.xxhash64("id"), "id").limit(settings.per_class).union(marks.filter("not good").orderBy(F.xxhash64("id"), "id").limit(settings.per_class))
     # Rows that share an identifier are one document; which text of several stands for it must not vary.
     rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "good").agg(F.max("text").alias("text"))
-    size = F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.dropna().withColumn("so_far", size).filter(F.col("so_far") <= settings.class_bytes).select("good", F.xxhash64("id").alias("h"), "id", "text")
+    rows = rows.dropna().select("good", F.xxhash64("id").alias("h"), "id", "text")
+    sizes = rows.select("good", "h", "id", F.octet_length("text").alias("size")).collect()
+    fits = _fitting(sorted((r["good"], r["h"], r["id"], r["size"]) for r in sizes), settings.class_bytes)
+    if len(fits) == len(sizes):
+        return rows
+    return rows.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in fits], "id long")), "id").select("good", "h", "id", "text")
+
+
+def _fitting(sizes: list[tuple[bool, int, int, int]], class_bytes: int) -> list[int]:
+    """The ids of those rows (good, h, id, size), taken in this order, that fit into the bytes their class has left; others are passed over."""
+    left = {True: class_bytes, False: class_bytes}
+    fits = []
+    for good, _, i, size in sizes:
+        if size <= left[good]:
+            left[good] -= size
+            fits.append(i)
+    return fits
 
 
 def class_counts(docs: DataFrame, labels: DataFrame) -> tuple[int, int]:
@@ -182,7 +197,7 @@ def trained(rows: list[tuple[bool, int, int, str]], settings: Settings, counts:
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> Model:
-    """Trains in one task on the bounded sample; the driver sees only the model."""
+    """Trains in one task on the bounded sample; the driver sees counts, the sizes of the sampled texts and the model."""
     settings = settings or Settings()
     counts = class_counts(docs, labels)
 

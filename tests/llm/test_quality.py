@@ -114,3 +114,15 @@ def test_the_cap_does_not_move_the_prior(spark):
     share = np.mean([labels[i][1] for i in test])
     assert abs(small.mean() - share) < 0.05 and abs(large.mean() - share) < 0.05
     assert np.mean((small >= quality.THRESHOLD) == (large >= quality.THRESHOLD)) > 0.93
+
+
+def test_a_text_that_does_not_fit_ends_nothing(spark):
+    docs, labels = make(200)
+    settings = Settings(per_class=500, class_bytes=200_000)
+    marks = spark.createDataFrame(labels, LABELS)
+    order = spark.createDataFrame(labels, LABELS).filter("quality = 1").filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id")).first()["doc_id"]
+    longer = [(d, t + " long" * 50_000 if d == order else t, *rest) for d, t, *rest in docs]
+    ids = [{r["id"] for r in quality.sample_labelled(spark.createDataFrame(x, DOCS), marks, settings).collect()} for x in (docs, longer)]
+    assert order in ids[0]
+    assert ids[1] == ids[0] - {order}
+    assert fit(spark.createDataFrame(longer, DOCS), marks, settings).weights is not None

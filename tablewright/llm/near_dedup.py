@@ -175,12 +175,16 @@ def _edge_pairs(edges: DataFrame, settings: Settings) -> DataFrame:
 
     prefix = F.substring("key", 1, 2 * settings.min_depth)
     rows = edges.select("edge", "tree", prefix.alias("prefix"), "key", "node").distinct()
-    cut = rows.groupBy("tree", "prefix").agg(F.countDistinct("edge").alias("n")).filter("n > 1").select("tree", "prefix")
+    cut = rows.groupBy("tree", "prefix").agg(F.countDistinct("edge").alias("n"), (F.count(F.lit(1)) > settings.dense).alias("dense")).filter("n > 1").select("tree", "prefix", "dense")
     rows = rows.join(cut, ["tree", "prefix"])
+    # All rows of a region that is not dense are here, at most ``dense``: each meets those of every later partition.
+    small = rows.filter("not dense").select("tree", "prefix", "edge", "node")
+    every = small.withColumnsRenamed({"edge": "before", "node": "a"}).join(small.withColumnRenamed("node", "b"), ["tree", "prefix"]).filter("before < edge and a <> b").select("a", "b")
+    rows = rows.filter("dense")
     parts = rows.select("tree", "prefix", "edge").distinct().withColumn("next", F.lead("edge").over(Window.partitionBy("tree", "prefix").orderBy("edge"))).filter("next is not null")
     left = rows.join(parts, ["tree", "prefix", "edge"]).select("tree", "prefix", F.col("next").alias("edge"), F.col("node").alias("a"))
     right = rows.select("tree", "prefix", "edge", F.col("node").alias("b"))
-    return left.join(right, ["tree", "prefix", "edge"]).filter("a <> b").select("a", "b")
+    return every.union(left.join(right, ["tree", "prefix", "edge"]).filter("a <> b").select("a", "b"))
 
 
 def _hub_pairs(forest: DataFrame, settings: Settings, scratch: Scratch) -> DataFrame:

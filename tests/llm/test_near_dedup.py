@@ -126,6 +126,19 @@ def test_cuts_between_partitions_lose_no_pair(spark):
         found.unpersist()
 
 
+def test_a_small_region_over_many_partitions_gives_every_pair(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(0, bytes([0, 1] * 4 + [i] * 8), i) for i in range(24)]
+    expected = set(combinations(range(24), 2))
+    ordered = spark.createDataFrame(rows, "tree int, key binary, node long").repartitionByRange(8, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
+    found = _order_pairs(ordered.select("*", F.spark_partition_id().cast("long").alias("part")), Settings()).cache()
+    assert found.filter("edge is not null").select("edge").distinct().count() > 2
+    pairs = found.filter("a is not null").select("a", "b").union(_edge_pairs(found.filter("edge is not null"), Settings()))
+    assert {tuple(sorted((r["a"], r["b"]))) for r in pairs.collect()} == expected
+    found.unpersist()
+
+
 def near_components(pairs):
     parent = {x: x for p in pairs for x in p}
 

@@ -18,7 +18,7 @@ its seeds reach, which spares all but real leaks the tiling, and tiling looks on
 parts of a document that hold seeds.
 
 Defined results: null or empty texts on either side match nothing; an item of fewer tokens
-than a seed must occur whole; repeated items each count; repeated documents are judged
+than a seed must occur whole; an item without an identifier counts, as null; repeated items each count; repeated documents are judged
 alike; an empty table gives an empty result, an empty benchmark no contamination; other
 columns do not matter.
 """
@@ -111,6 +111,10 @@ def tile(item: Sequence[int], doc: Sequence[int], least: int) -> list[Tile]:
             return tiles
 
 
+def _nulls_first(row: tuple) -> tuple:
+    return (row[0] is not None, row[0] or 0, *row[1:])
+
+
 class Benchmark:
     """A block of items with the seeds by which documents find them."""
 
@@ -155,7 +159,7 @@ class Benchmark:
                 share = sum(n for _, _, n in tile(wanted.tolist(), doc, size)) / len(wanted)
                 if share >= threshold:
                     out.append((item_id, share))
-        return sorted(out)
+        return sorted(out, key=_nulls_first)
 
     @staticmethod
     def _reach(places: np.ndarray, size: int, n: int) -> float:
@@ -187,7 +191,7 @@ def blocks(benchmark: DataFrame, settings: Settings, id_col: str = "item_id", te
     items = benchmark.select(benchmark[id_col].cast("long").alias("item_id"), benchmark[text_col].cast("string").alias("text"))
     n = (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // settings.block_bytes + 1
     for b in range(n):
-        yield n, Benchmark(sorted((r["item_id"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == b).dropna().collect()), settings.words)
+        yield n, Benchmark(sorted(((r["item_id"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == b).dropna(subset=["text"]).collect()), key=_nulls_first), settings.words)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

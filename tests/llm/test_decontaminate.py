@@ -97,3 +97,14 @@ def test_empty_tables(spark):
     assert [list(r["items"]) for r in contamination(docs, none).collect()] == [[]]
     assert contamination(docs.limit(0), none).count() == 0
     assert keep_clean(docs, none).count() == 1
+
+
+def test_items_without_an_identifier_count(spark):
+    from tablewright.llm.decontaminate import contamination, keep_clean
+
+    items = [f"first{i} second{i} third{i} fourth{i} fifth{i} sixth{i}" for i in range(3)]
+    benchmark = spark.createDataFrame([(None, items[0]), (None, items[1]), (7, items[1]), (8, None), (None, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"a {items[0]} b"), (2, f"{items[1]} {items[0]}"), (3, items[2]), (4, None)], "doc_id long, text string")
+    found = {r["doc_id"]: [i["item_id"] for i in r["items"]] for r in contamination(docs, benchmark).collect()}
+    assert found == {1: [None], 2: [None, None, 7], 3: [], 4: []}
+    assert {r["doc_id"] for r in keep_clean(docs, benchmark).collect()} == {3, 4}

@@ -194,6 +194,13 @@ def inverse_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.display_places(ordering.sort_order(table, "s_name", ascending=False), table.filter("row_id % 3 = 0"))
 
 
+@_query("SELECT row_id, display_idx FROM (" + _order_sql("supplier", "s_suppkey", "s_name", "DESC") + ")")
+def inverse_order_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of all rows."""
+    table = _cells(spark, sf_dir, "supplier", "s_suppkey", ["s_name"])
+    return ordering.display_places(ordering.sort_order(table, "s_name", ascending=False), table)
+
+
 @_query(f"SELECT row_id, display_idx FROM ({_SORTED_PART}) WHERE contains(lower(p_name), 'blue')")
 def match_in_sorted_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _part_names(spark, sf_dir)

@@ -1,4 +1,4 @@
-"""Substring deduplication by line hashing.
+"""Deduplication of whole lines or paragraphs by hashing; ``passage_dedup`` finds what lies inside them.
 
 A unit is a line (or a paragraph) of at least ``min_words`` words. Units are normalised
 (lower case, white space collapsed) and hashed to 128 bits; over the whole corpus the
@@ -68,6 +68,7 @@ class LineDedup:
         scratch = Scratch(docs.sparkSession, "line-dedup")
         self.text = docs[text_col].cast("string")
         self.doc_id = docs[id_col].cast("long")
+        self.rank = F.coalesce(self.doc_id, F.lit(_LAST))
         self.key = F.xxhash64(self.doc_id, self.text)
 
         def make():
@@ -78,19 +79,19 @@ class LineDedup:
 
             return each
 
-        source = docs.select(self.key.alias("key"), F.coalesce(self.doc_id, F.lit(_LAST)).alias("rank"), self.text.alias("text"))
+        source = docs.select(self.key.alias("key"), self.rank.alias("rank"), self.text.alias("text"))
         found = map_batches(source, make, "key long, rank long, digest binary, start long, end long, again boolean")
         self.units = scratch.table(found, "units")
         repeated = self.units.groupBy("digest").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
         self.repeated = scratch.table(repeated, "repeated")
         gone = self.units.join(self.repeated, "digest").filter("again or rank > first")
-        spans = gone.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "end", F.col("first").alias("kept_in")))).alias("removed"))
+        spans = gone.groupBy("rank", "key").agg(F.sort_array(F.collect_set(F.struct("start", "end", F.col("first").alias("kept_in")))).alias("removed"))
         self.spans = scratch.table(spans, "spans")
 
     def result(self) -> DataFrame:
         """doc_id, removed (array of start, end, kept_in: the doc_id that keeps the unit; null if that is null) and clean_text for every row."""
         separator = self.separator
-        rows = self.docs.select(self.key.alias("key"), self.doc_id.alias("doc_id"), self.text.alias("text")).join(self.spans, "key", "left")
+        rows = self.docs.select(self.rank.alias("rank"), self.key.alias("key"), self.doc_id.alias("doc_id"), self.text.alias("text")).join(self.spans, ["rank", "key"], "left")
 
         def make():
             def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -104,8 +105,8 @@ class LineDedup:
         return map_batches(rows.select("doc_id", "text", spans.alias("removed")), make, "doc_id long, removed array<struct<start:long,end:long,kept_in:long>>, clean_text string")
 
 
-def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with what is removed of it, where that is kept, and its clean text."""
+def long_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the lines of ten or more words that are removed of it, where they are kept, and its clean text."""
     return _listed(LineDedup(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
@@ -121,7 +122,7 @@ def _listed(lines: LineDedup) -> DataFrame:
     return found.select("doc_id", (F.size("removed") > 0).alias("changed"), F.size("removed").cast("long").alias("n_removed"), spans.alias("removed"), kept_in.alias("kept_in"), "clean_text")
 
 
-OP8_SQL = r"""
+LONG_LINE_SQL = r"""
 WITH parts AS (
   SELECT rid, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS part, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n
   FROM (SELECT row_number() OVER () AS rid, doc_id, text FROM documents)
@@ -143,4 +144,4 @@ SELECT any_value(doc_id) AS doc_id, bool_or(gone) AS changed, count(*) FILTER (W
 FROM ranked GROUP BY rid
 """
 
-EVERY_LINE_SQL = OP8_SQL.replace("len(words) >= 10", "len(words) >= 1")
+EVERY_LINE_SQL = LONG_LINE_SQL.replace("len(words) >= 10", "len(words) >= 1")

@@ -1,4 +1,8 @@
-"""Passage deduplication: repeated runs of words, wherever in a line they lie.
+"""Substring deduplication: repeated runs of words, wherever in a line they lie.
+
+Digests of whole lines (``line_dedup``) miss passages that begin inside a line and remove
+short lines that repeat by chance, so the units here are windows: normalised, hashed, grouped
+over the whole corpus, the earliest kept and the rest removed, as there.
 
 A window is ``words`` (50) words in a row, A-Z lower-cased and without the white space
 between. Every window that occurs earlier in the corpus is removed, by the order of doc_id,
@@ -19,7 +23,7 @@ splits a hot one. Texts are shuffled twice: to cut single windows, and for the r
 
 Defined results: a null text stays null, one of fewer words than a window stays as it is;
 rows without a doc_id rank last; rows with equal doc_id and text are one document and are
-treated alike; the white space after a removed run goes with it; an empty table gives an
+treated alike; rows are told apart by their doc_id and a 64-bit hash of both; the white space after a removed run goes with it; an empty table gives an
 empty result; other columns do not matter.
 """
 
@@ -116,8 +120,8 @@ class PassageDedup:
 
             return each
 
-        rank = F.coalesce(self.doc_id, F.lit(_LAST)).alias("rank")
-        rows = docs.select(self.key.alias("key"), rank, self.text.alias("text"))
+        self.rank = F.coalesce(self.doc_id, F.lit(_LAST))
+        rows = docs.select(self.key.alias("key"), self.rank.alias("rank"), self.text.alias("text"))
         every = scratch.table(map_batches(rows, make, "key long, rank long, pick long, segment long, place int, lo int, hi int"), "segments")
         repeated = every.groupBy("pick").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("pick")
         # What is joined to is written first: adaptive execution splits a hot key only between two exchanges.
@@ -127,21 +131,21 @@ class PassageDedup:
         copies = hot.groupBy("pick", "segment").agg(F.min(F.struct("rank", "key", "place", "lo", "hi")).alias("first"), F.count(F.lit(1)).alias("n"))
         copies = scratch.table(copies, "copies")
         later = hot.join(copies.filter("n > 1").select("pick", "segment", "first"), ["pick", "segment"]).filter(F.struct("rank", "key", "place") > F.struct("first.rank", "first.key", "first.place"))
-        whole = later.select("key", F.col("lo").alias("first"), (F.col("hi") + words).alias("end"))
+        whole = later.select("rank", "key", F.col("lo").alias("first"), (F.col("hi") + words).alias("end"))
 
         differ = copies.groupBy("pick").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("pick")
-        cut = copies.join(scratch.table(differ, "differ"), "pick").select("pick", "first.*").groupBy("key").agg(F.collect_list(F.struct("pick", "lo", "hi")).alias("parts"))
-        cut = rows.join(scratch.table(cut, "cut"), "key")
+        cut = copies.join(scratch.table(differ, "differ"), "pick").select("pick", "first.*").groupBy("rank", "key").agg(F.collect_list(F.struct("pick", "lo", "hi")).alias("parts"))
+        cut = rows.join(scratch.table(cut, "cut"), ["rank", "key"])
         windows = scratch.table(map_batches(cut.select("key", "rank", "text", "parts"), _cutter(words), "key long, rank long, pick long, window long, place int"), "windows")
         earliest = windows.groupBy("pick", "window").agg(F.min(F.struct("rank", "key", "place")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
         single = windows.join(scratch.table(earliest.select("pick", "window", "first"), "earliest"), ["pick", "window"]).filter(F.struct("rank", "key", "place") > F.col("first"))
-        single = single.select("key", F.col("place").alias("first"), (F.col("place") + words).alias("end"))
-        gone = whole.union(single).groupBy("key").agg(F.collect_set(F.struct("first", "end")).alias("gone"))
+        single = single.select("rank", "key", F.col("place").alias("first"), (F.col("place") + words).alias("end"))
+        gone = whole.union(single).groupBy("rank", "key").agg(F.collect_set(F.struct("first", "end")).alias("gone"))
         self.gone = scratch.table(gone, "gone")
 
     def result(self) -> DataFrame:
         """doc_id, removed (array of start, end in code points) and clean_text for every row."""
-        rows = self.docs.select(self.key.alias("key"), self.doc_id.alias("doc_id"), self.text.alias("text")).join(self.gone, "key", "left")
+        rows = self.docs.select(self.rank.alias("rank"), self.key.alias("key"), self.doc_id.alias("doc_id"), self.text.alias("text")).join(self.gone, ["rank", "key"], "left")
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
         def make():
@@ -178,8 +182,44 @@ def _cutter(words: int):
     return make
 
 
-def passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the passages that are removed of it, and its clean text."""
     found = PassageDedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).result()
     spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return found.select("doc_id", (F.size("removed") > 0).alias("changed"), F.size("removed").cast("long").alias("n_removed"), spans.alias("removed"), "clean_text")
+
+
+OP8_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS pieces,
+         length(text) - length(ltrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS lead
+  FROM documents
+), normal AS (
+  SELECT *, list_transform(pieces, lambda p: translate(regexp_replace(p, '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS words
+  FROM docs
+), windows AS (
+  SELECT doc_id, unnest(range(1, len(words) - 48)) AS i, unnest(list_transform(range(1, len(words) - 48), lambda i: md5(array_to_string(words[i:i + 49], ' ')))) AS digest
+  FROM normal WHERE len(words) >= 50
+), gone AS (
+  SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY digest ORDER BY doc_id, i) > 1
+), marked AS (
+  SELECT *, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, true) AS begins FROM gone
+), numbered AS (
+  SELECT *, sum(begins::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked
+), runs AS (
+  SELECT doc_id, run, min(i) AS first, max(i) + 49 AS last FROM numbered GROUP BY doc_id, run
+), tokens AS (
+  SELECT doc_id, lead, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS n FROM normal
+), placed AS (
+  SELECT *, lead + coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM tokens
+), spans AS (
+  SELECT doc_id, run, min(start) AS start, max(start + length(piece)) AS stop FROM placed JOIN runs USING (doc_id) WHERE n BETWEEN first AND last GROUP BY doc_id, run
+), kept AS (
+  SELECT doc_id, string_agg(piece, '' ORDER BY n) AS clean FROM placed ANTI JOIN spans ON placed.doc_id = spans.doc_id AND placed.start >= spans.start AND placed.start < spans.stop GROUP BY doc_id
+), listed AS (
+  SELECT doc_id, count(*) AS n, string_agg(start || ':' || stop, ',' ORDER BY start) AS removed FROM spans GROUP BY doc_id
+)
+SELECT d.doc_id, l.n IS NOT NULL AS changed, coalesce(l.n, 0) AS n_removed, coalesce(l.removed, '') AS removed,
+       CASE WHEN l.n IS NULL THEN d.text ELSE left(d.text, d.lead) || coalesce(k.clean, '') END AS clean_text
+FROM docs d LEFT JOIN listed l ON l.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""

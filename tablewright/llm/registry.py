@@ -18,19 +18,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_near_duplicates": near_dedup.op5_near_duplicates,
         "op6_ngram_scores": ngram_lm.op6_ngram_scores,
         "op7_source_mix": mixing.op7_source_mix,
-        "op8_line_dedup": line_dedup.op8_line_dedup,
+        "op8_substring_dedup": passage_dedup.op8_substring_dedup,
         "op9_url_filter": url_filter.op9_url_filter,
         "op10_token_counts": token_counts.op10_token_counts,
     }
 
 
 def further_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """Queries beside the one of each operator: what op8's SQL does not ask for."""
-    return {"passage_dedup": passage_dedup.passage_dedup, "every_line_dedup": line_dedup.every_line_dedup}
+    """Queries beside the one of each operator: whole lines as units."""
+    return {"long_line_dedup": line_dedup.long_line_dedup, "every_line_dedup": line_dedup.every_line_dedup}
 
 
 def further_sql() -> dict[str, str]:
-    return {"every_line_dedup": line_dedup.EVERY_LINE_SQL}
+    return {"long_line_dedup": line_dedup.LONG_LINE_SQL, "every_line_dedup": line_dedup.EVERY_LINE_SQL}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -38,6 +38,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_exact_dedup": exact_dedup.OP1_SQL,
         "op5_near_duplicates": near_dedup.OP5_SQL,
         "op7_source_mix": mixing.OP7_SQL,
-        "op8_line_dedup": line_dedup.OP8_SQL,
+        "op8_substring_dedup": passage_dedup.OP8_SQL,
         "op9_url_filter": url_filter.OP9_SQL,
     }

@@ -70,7 +70,8 @@ def test_short_lines_are_units_of_every_line_dedup(spark, tmp_path):
 
 
 @pytest.mark.skipif(not SMALL.exists(), reason="needs the driver's tables")
-def test_every_line_dedup_equals_its_sql(spark):
+@pytest.mark.parametrize("name", sorted(registry.further_sql()))
+def test_whole_lines_equal_their_sql(spark, name):
     with duckdb.connect() as connection:
         connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
-        same(registry.further_queries()["every_line_dedup"](spark, str(SMALL)).toPandas(), connection.execute(registry.further_sql()["every_line_dedup"]).df())
+        same(registry.further_queries()[name](spark, str(SMALL)).toPandas(), connection.execute(registry.further_sql()[name]).df())

@@ -12,13 +12,15 @@ from tablewright.sources.settings import ParseSettings
 from tablewright.storage import hadoop_path, shared_dir
 
 KEEP_DAYS = 3
+#: Raised when the reader gives other rows for the same file, so that older copies are not found.
+READER = 2
 
 
-def source_key(spark: SparkSession, path: str, settings: ParseSettings) -> str:
-    """Changes with the path, the length, the time of change and every setting."""
+def source_key(spark: SparkSession, path: str, settings: ParseSettings, reading: str = "whole") -> str:
+    """Changes with the path, the length, the time of change, every setting and the way the file is divided."""
     system, where = hadoop_path(spark, path)
     status = system.getFileStatus(where)
-    return hashlib.sha256(f"{system.makeQualified(where)}|{status.getLen()}|{status.getModificationTime()}|{settings.identity()}".encode()).hexdigest()[:32]
+    return hashlib.sha256(f"{system.makeQualified(where)}|{status.getLen()}|{status.getModificationTime()}|{settings.identity()}|{reading}|{READER}".encode()).hexdigest()[:32]
 
 
 class Artefacts:

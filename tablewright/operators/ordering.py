@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablewright.operators.paging import FEW_IDS
 from tablewright.storage import Scratch
 
 #: Pages that end before this row are taken from the top, without ordering everything.
@@ -58,7 +59,12 @@ def sorted_page(table: DataFrame, column: str, start: int, count: int, ascending
         return numbered.filter(F.col("display_idx") >= start).select("display_idx", "row_id", *[c for c in table.columns if c != "row_id"])
     order = sort_order(table, column, ascending) if order is None else order
     wanted = sorted_ids(order, start, count)
-    return table.join(F.broadcast(wanted), "row_id").select("display_idx", "row_id", *[c for c in table.columns if c != "row_id"])
+    if count <= FEW_IDS:
+        # The ids of a page are few: with them the scan of the table skips what cannot hold them.
+        found = [tuple(r) for r in wanted.collect()]
+        wanted = table.sparkSession.createDataFrame(found, "display_idx long, row_id long")
+        table = table.filter(F.col("row_id").isin([row_id for _, row_id in found]))
+    return table.join(wanted, "row_id").select("display_idx", "row_id", *[c for c in table.columns if c != "row_id"])
 
 
 def sorted_ids(order: DataFrame, start: int, count: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tablewright.operators.search import cell_names
 
 Range = tuple[int, int]
-EDITS, DELETES = "row_id long, col_idx int, value string", "row_id long"
+EDITS = "row_id long, col_idx int, value string"
 
 
 def apply_edits(table: DataFrame, edits: DataFrame) -> DataFrame:
@@ -25,14 +25,31 @@ def without_deleted(table: DataFrame, deletes: DataFrame) -> DataFrame:
 
 
 class Overlay:
-    """The pending edits of a session: by original row id, whatever the view shows."""
+    """The pending edits of a session: by original row id, whatever the view shows.
+
+    Deletions are kept as ranges of row ids. A selection in a sorted view may be any set of ids;
+    a large one stays a table. Deletions and restorations after such a table are kept in order,
+    and the last that has a row decides.
+    """
 
     def __init__(self) -> None:
         self.edits: dict[int, dict[int, str]] = {}
-        self.deleted: set[int] = set()
+        self._changes: list[tuple[bool, list[Range] | DataFrame]] = []
+
+    @property
+    def deleted(self) -> set[int]:
+        """The deleted ids, one by one: for few rows."""
+        found: set[int] = set()
+        for gone, rows in self._changes:
+            ids = (i for start, end in rows for i in range(start, end + 1)) if isinstance(rows, list) else (r["row_id"] for r in rows.toLocalIterator())
+            found = found.union(ids) if gone else found.difference(ids)
+        return found
 
     def can_edit(self, row_id: int) -> bool:
-        return row_id not in self.deleted
+        for gone, rows in reversed(self._changes):
+            if is_selected(rows, row_id) if isinstance(rows, list) else not rows.filter(F.col("row_id") == row_id).isEmpty():
+                return not gone
+        return True
 
     def commit(self, row_id: int, col_idx: int, value: str, original: str) -> bool:
         """Sets a cell; back to its original value the edit is gone. Whether anything changed."""
@@ -52,30 +69,70 @@ class Overlay:
         return True
 
     def delete(self, row_ids: Iterable[int]) -> None:
-        self.deleted.update(row_ids)
+        self.delete_rows([(i, i) for i in row_ids])
 
     def restore(self, row_ids: Iterable[int]) -> None:
-        self.deleted.difference_update(row_ids)
+        self.restore_rows([(i, i) for i in row_ids])
+
+    def delete_rows(self, rows: Iterable[Range] | DataFrame) -> None:
+        """Deletes ranges of row ids, or a table of them."""
+        self._change(True, rows)
+
+    def restore_rows(self, rows: Iterable[Range] | DataFrame) -> None:
+        self._change(False, rows)
+
+    def _change(self, gone: bool, rows: Iterable[Range] | DataFrame) -> None:
+        if isinstance(rows, DataFrame):
+            self._changes.append((gone, rows.select("row_id")))
+        elif any(isinstance(r, DataFrame) for _, r in self._changes):
+            self._changes.append((gone, normalised(rows)))
+        else:
+            before = self._changes[0][1] if self._changes else []
+            now = normalised([*before, *rows]) if gone else subtracted(before, rows)
+            self._changes = [(True, now)] if now else []
 
     def clear(self) -> None:
         self.edits.clear()
-        self.deleted.clear()
+        self._changes.clear()
 
     @property
     def dirty(self) -> bool:
-        return bool(self.edits or self.deleted)
+        return bool(self.edits or self._changes)
 
     def edits_frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(r, c, v) for r, row in self.edits.items() for c, v in row.items()], EDITS)
 
-    def deletes_frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(r,) for r in self.deleted], DELETES)
-
     def apply(self, table: DataFrame) -> DataFrame:
-        spark = table.sparkSession
         if self.edits:
-            table = apply_edits(table, self.edits_frame(spark))
-        return without_deleted(table, self.deletes_frame(spark)) if self.deleted else table
+            table = apply_edits(table, self.edits_frame(table.sparkSession))
+        return self.kept(table)
+
+    def kept(self, table: DataFrame) -> DataFrame:
+        """The rows that are not deleted."""
+        if not self._changes:
+            return table
+        spark, columns = table.sparkSession, table.columns
+        if len(self._changes) == 1 and isinstance(rows := self._changes[0][1], list):
+            return table.filter(~in_ranges(F.col("row_id"), rows)) if len(rows) <= FEW_RANGES else without_deleted(table, _listed(spark, rows))
+        marks, tests = None, []
+        for n, (gone, rows) in enumerate(self._changes):
+            mark = F.struct(F.lit(n).alias("n"), F.lit(gone).alias("gone"))
+            if isinstance(rows, list) and len(rows) <= FEW_RANGES:
+                tests.append(F.when(in_ranges(F.col("row_id"), rows), mark))
+                continue
+            listed = (_listed(spark, rows) if isinstance(rows, list) else rows).select("row_id", mark.alias("__mark"))
+            marks = listed if marks is None else marks.union(listed)
+        table = table.join(marks.groupBy("row_id").agg(F.max("__mark").alias("__mark")), "row_id", "left")
+        last = F.greatest(F.col("__mark"), *tests) if tests else F.col("__mark")
+        return table.filter(~F.coalesce(last["gone"], F.lit(False))).select(*columns)
+
+
+#: Ranges that a filter tests; more are listed id by id and joined.
+FEW_RANGES = 200
+
+
+def _listed(spark: SparkSession, ranges: list[Range]) -> DataFrame:
+    return spark.createDataFrame(ranges or [(0, -1)], "start long, end long").filter("start <= end").select(F.explode(F.sequence("start", "end")).alias("row_id"))
 
 
 # ---- selections: ranges of rows, both ends included
@@ -104,6 +161,14 @@ def toggled(ranges: Iterable[Range], row: int) -> list[Range]:
     return [part for start, end in ranges for part in ([(start, row - 1), (row + 1, end)] if start <= row <= end else [(start, end)]) if part[0] <= part[1]]
 
 
+def subtracted(ranges: Iterable[Range], other: Iterable[Range]) -> list[Range]:
+    """What is left of the ranges without others."""
+    out = normalised(ranges)
+    for low, high in normalised(other):
+        out = [part for start, end in out for part in ([(start, min(end, low - 1)), (max(start, high + 1), end)] if start <= high and low <= end else [(start, end)]) if part[0] <= part[1]]
+    return out
+
+
 def added(ranges: Iterable[Range], new: Range) -> list[Range]:
     return normalised([*ranges, new])
 

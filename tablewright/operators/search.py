@@ -65,6 +65,7 @@ class SearchIndex:
         sizes = entries.groupBy("column", "key").count().groupBy("column").count().collect()
         self.columns = sorted(r["column"] for r in sizes if r["count"] <= INDEX_MAX_KEYS)
         kept = entries.filter(F.col("column").isin(self.columns)) if self.columns else entries.limit(0)
+        self.cut = {r["column"] for r in entries.filter("cut").select("column").distinct().collect()}
         self.entries = scratch.table(kept.repartitionByRange("column", "key", "row_id").sortWithinPartitions("column", "key", "row_id"), "entries")
 
     def search(self, query: str, column: int, *, whole_cell: bool = False) -> DataFrame:
@@ -74,6 +75,8 @@ class SearchIndex:
         wanted = F.lower(F.lit(query))
         entries = self.entries.filter(F.col("column") == column)
         short = entries.filter(~F.col("cut") & (F.col("key") == wanted if whole_cell else F.contains("key", wanted))).select("row_id")
+        if column not in self.cut:
+            return short
         # Cut keys cannot decide: those cells are tested in full.
         cell = cell_names(self.table)[column]
         long = self.table.filter(matches(F.col(cell), query, whole_cell=whole_cell)).filter(F.octet_length(F.lower(F.col(cell))) > INDEX_KEY_BYTES)

@@ -49,8 +49,7 @@ def _cells(spark: SparkSession, sf_dir: str, name: str, key: str, columns: Seque
     df = _read(spark, sf_dir, name)
     if not columns:
         return from_table(df, key)
-    ranked = ordering.dense_rank_ids(df.select(key, *[c for c in columns if c != key]), [F.col(key)], "row_id")
-    return ranked.select("row_id", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns])
+    return from_table(df.select(key, *[c for c in columns if c != key]), key).select("row_id", *columns)
 
 
 def _ids_sql(name: str, key: str, where: str) -> str:

@@ -13,6 +13,10 @@ from tablewright.sources import sink
 from tablewright.sources.delimited import Metadata, Source
 
 
+#: Rows of a selection that the driver may hold one by one.
+FEW_ROWS = 100_000
+
+
 def initial_path(arguments: Sequence[str]) -> str | None:
     """The first argument that names a CSV file."""
     return next((a for a in arguments if a.lower().endswith(".csv")), None)
@@ -41,12 +45,12 @@ class TableSession:
         pending, self.pending = self.pending, None
         return pending
 
-    def load(self, path: str, overrides: dict | None = None, reading: str = "whole") -> Metadata:
+    def load(self, path: str, overrides: dict | None = None, reading: str = "auto") -> Metadata:
         """Opens a file: dialect, labels and an estimate of its rows. Rows are read when first asked for."""
         self.source = Source(self.spark, path, overrides, reading)
         self._forget()
         self.artefacts.prune()
-        self.key = source_key(self.spark, path, self.source.settings)
+        self.key = source_key(self.spark, path, self.source.settings, self.source.reading)
         return self.source.metadata
 
     @property
@@ -133,19 +137,23 @@ class TableSession:
         found = self.rows_by_id([row_id])[0]
         return bool(found) and self.overlay.commit(row_id, column, value, found[column])
 
-    def _ids_shown(self, ranges: Sequence[overlay.Range]) -> list[int]:
+    def _rows_shown(self, ranges: Sequence[overlay.Range]) -> list[overlay.Range] | DataFrame:
+        """The rows at ranges of places: as ranges where they are few or the file's order is shown, else as a table."""
+        last = self.row_count() - 1
+        ranges = [(start, min(end, last)) for start, end in overlay.normalised(ranges) if start <= last]
         if self._order is None:
-            shown = self.table.select("row_id").filter(overlay.in_ranges(F.col("row_id"), ranges))
-        else:
-            shown = self._order.filter(overlay.in_ranges(F.col("display_idx"), ranges))
-        return [r["row_id"] for r in shown.select("row_id").collect()]
+            return ranges
+        shown = self._order.filter(overlay.in_ranges(F.col("display_idx"), ranges)).select("row_id")
+        if sum(end - start + 1 for start, end in ranges) <= FEW_ROWS:
+            return [(r["row_id"], r["row_id"]) for r in shown.collect()]
+        return shown
 
     def delete_selection(self, ranges: Sequence[overlay.Range]) -> None:
         """Deletes the rows shown at ranges of places."""
-        self.overlay.delete(self._ids_shown(ranges))
+        self.overlay.delete_rows(self._rows_shown(ranges))
 
     def restore_selection(self, ranges: Sequence[overlay.Range]) -> None:
-        self.overlay.restore(self._ids_shown(ranges))
+        self.overlay.restore_rows(self._rows_shown(ranges))
 
     def copy_selection(self, ranges: Sequence[overlay.Range]) -> str:
         """Rows shown at ranges of places as text: in the order shown, edited, without deleted ones."""

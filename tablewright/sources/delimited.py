@@ -19,12 +19,15 @@ from pyspark.sql import types as T
 
 from tablewright.functions.text import has_replacement, truncate_utf8
 from tablewright.sources import sniff
-from tablewright.sources.records import split_records
+from tablewright.sources.records import positions, split_records, way, without_mark
 from tablewright.sources.settings import ParseSettings, with_overrides
+from tablewright.storage import Scratch
 
 WARNING_LIMIT = 200
 WARNING_SCHEMA = "record long, line long, byte long, field long, kind string, message string, expected_len long, len long"
 _CORRUPT = "_corrupt"
+#: Files beyond this are divided among tasks where that is possible.
+SPLIT_BYTES = 64 << 20
 
 
 def too_long(values: list[Column], settings: ParseSettings) -> tuple[Column, Column]:
@@ -71,22 +74,25 @@ class Source:
 
     ``reading`` says how one file is divided among tasks: ``whole`` not at all, which takes any
     file; ``lines`` at line breaks, for files without quoted ones; ``records`` at the ends of
-    records, for files whose quotes are balanced.
+    records, for files whose quotes are balanced. ``auto`` takes small files whole and looks
+    through large ones, in parallel, for the way that fits.
     """
 
     spark: SparkSession
     path: str
     overrides: dict | None = None
-    reading: str = "whole"
+    reading: str = "auto"
     metadata: Metadata = field(init=False)
 
     def __post_init__(self) -> None:
-        if self.reading not in ("whole", "lines", "records"):
-            raise ValueError("reading must be whole, lines or records")
+        if self.reading not in ("auto", "whole", "lines", "records"):
+            raise ValueError("reading must be auto, whole, lines or records")
         found = sniff.sniff(self.spark, self.path)
         effective = with_overrides(found.settings, self.overrides)
         labels = sniff.labels_of(found.sample, effective)
         self.metadata = Metadata(labels, found.settings, effective, sniff.estimated_rows(found.sample, found.length, effective))
+        if self.reading == "auto":
+            self.reading = "whole" if found.length <= SPLIT_BYTES else way(self.spark, self.path, effective)
 
     @property
     def settings(self) -> ParseSettings:
@@ -112,9 +118,7 @@ class Source:
     def _scan_records(self) -> DataFrame:
         """The same from records split in parallel; their order is in __file, __start and __seq."""
         s = self.settings
-        records = split_records(self.spark, self.path, s)
-        raw = F.when((F.col("start") == 0) & (F.col("seq") == 0), F.regexp_replace("raw", "^\ufeff", "")).otherwise(F.col("raw"))
-        records = records.withColumn("raw", raw).filter(F.length(F.trim("raw")) > 0)
+        records = without_mark(split_records(self.spark, self.path, s))
         if s.has_headers:
             first = records.groupBy("file").agg(F.min(F.struct("start", "seq")).alias("first"))
             records = records.join(F.broadcast(first), "file").filter(F.struct("start", "seq") != F.col("first"))
@@ -160,7 +164,11 @@ class Source:
         return kept.select("row_id", *[v.alias(c) for v, c in zip(values, cells, strict=True)])
 
     def warnings(self, limit: int = WARNING_LIMIT) -> DataFrame:
-        """The first warnings by physical record; lines and bytes are not known to Spark's reader."""
+        """The first warnings by physical record.
+
+        Spark's reader does not tell where a record begins. Lines (from 1) and bytes (from 0) are
+        counted in a pass of their own, for UTF-8 only; else they are null.
+        """
         s, cells = self.settings, self.cells
         rows = self._numbered(self._scan()).withColumnRenamed("row_id", "record")
         values = [F.coalesce(F.col(c), F.lit("")) for c in cells]
@@ -175,17 +183,25 @@ class Source:
         wrong = F.col(_CORRUPT).isNotNull()
         sizes = reduce(lambda a, b: a + b, [F.octet_length(v) for v in values], F.lit(0))
         found = F.array(
-            length(wrong, none, "repaired" if mended else "unequal-lengths", "wrong number of fields", F.lit(len(cells)), F.when(wrong, n_fields(F.col(_CORRUPT)))),
+            length(wrong, none, "repaired" if mended else "unequal-lengths", "wrong number of fields", F.lit(len(cells)), none),
             length(reduce(lambda a, b: a | b, is_bad, F.lit(False)), position(is_bad), "utf8", "undecodable bytes", none, none),
             length(long_field, position(is_long), "max-field-size", "field too long", F.lit(s.max_field_size), F.greatest(F.lit(0), *[F.octet_length(v) for v in values])),
             length(long_record, none, "max-record-size", "record too long", F.lit(s.max_record_size), sizes),
         )
-        each = rows.select("record", F.explode(F.filter(found, lambda w: w.isNotNull())).alias("w"))
-        return each.orderBy("record", "w.kind").limit(limit).select("record", F.lit(None).cast("long").alias("line"), F.lit(None).cast("long").alias("byte"), "w.field", "w.kind", "w.message", "w.expected_len", "w.len")
+        each = rows.select("record", F.col(_CORRUPT).alias("raw"), F.explode(F.filter(found, lambda w: w.isNotNull())).alias("w"))
+        # Only the first few go on: they are written before their fields are counted in Python.
+        first = Scratch(self.spark, "warnings").table(each.orderBy("record", "w.kind").limit(limit), "first")
+        length_of = F.when(F.col("w.kind").isin("repaired", "unequal-lengths"), n_fields(F.col("raw"))).otherwise(F.col("w.len"))
+        wanted = sorted({r["record"] for r in first.select("record").collect()})
+        if wanted and s.encoding in ("utf-8", "us-ascii"):
+            first = first.join(positions(self.spark, self.path, s, wanted), "record", "left")
+        else:
+            first = first.withColumns({"line": F.lit(None).cast("long"), "byte": F.lit(None).cast("long")})
+        return first.orderBy("record", "w.kind").select("record", "line", "byte", "w.field", "w.kind", "w.message", "w.expected_len", length_of.alias("len"))
 
 
 def _field_counter(settings: ParseSettings):
-    """Counts the fields of raw malformed records; only those reach Python."""
+    """Counts the fields of raw malformed records."""
     delimiter, quote, escape = settings.delimiter, settings.quote, settings.escape
 
     @F.pandas_udf("long")
@@ -204,10 +220,20 @@ def _field_counter(settings: ParseSettings):
 def from_table(df: DataFrame, key: str | list[str]) -> DataFrame:
     """Any DataFrame as row_id and text cells: ids are ranks of a unique key, cells keep their names.
 
-    The rank is found without a global window: the rows are range-partitioned by the key and
-    written once, and each partition is shifted by the rows before it.
+    The rank is found without a global window: the keys alone are range-partitioned and written
+    once, and each partition is shifted by the rows before it. Rows meet their ranks in a join on
+    the key, so a filter on cells still reaches the scan of ``df``.
     """
     from tablewright.operators.ordering import dense_rank_ids
 
     keys = [key] if isinstance(key, str) else key
-    return dense_rank_ids(df, [F.col(k) for k in keys], "row_id").select("row_id", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns])
+    ranks = dense_rank_ids(df.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]), [F.col(f"__k{i}") for i in range(len(keys))], "row_id")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+    return df.join(ranks, same).select("row_id", *[_cell(df, c) for c in df.columns])
+
+
+def _cell(df: DataFrame, name: str) -> Column:
+    """A column as text, empty where it is null; in this form, comparisons with constants are pushed down to its source."""
+    c = F.col(name)
+    c = c if isinstance(df.schema[name].dataType, T.StringType) else c.cast("string")
+    return F.when(c.isNull(), F.lit("")).otherwise(c).alias(name)

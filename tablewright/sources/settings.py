@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 from dataclasses import asdict, dataclass, fields, replace
 
@@ -53,8 +54,14 @@ def _line_ending(value: str) -> str | None:
     return value.lower() if value.lower() in (*TERMINATORS, "auto") else None
 
 
-def canonical_encoding(label: str) -> str:
-    return ENCODINGS.get(label.strip().lower(), label.strip().lower())
+def canonical_encoding(label: str) -> str | None:
+    """Java's name of an encoding; None for a label that nobody knows."""
+    name = ENCODINGS.get(label.strip().lower(), label.strip().lower())
+    try:
+        codecs.lookup(name)
+    except (LookupError, ValueError):
+        return None
+    return name
 
 
 def with_overrides(found: ParseSettings, overrides: dict | None) -> ParseSettings:
@@ -76,8 +83,8 @@ def with_overrides(found: ParseSettings, overrides: dict | None) -> ParseSetting
             new["escape"] = None
         elif escape := ("\\" if value.lower() == "backslash" else _one_byte(value)):
             new["escape"] = escape
-    if "encoding" in overrides:
-        new["encoding"] = canonical_encoding(str(overrides["encoding"]))
+    if "encoding" in overrides and (encoding := canonical_encoding(str(overrides["encoding"]))):
+        new["encoding"] = encoding
     if "malformed" in overrides:
         if overrides["malformed"] not in POLICIES:
             raise ValueError(f"malformed must be one of {', '.join(POLICIES)}")

@@ -62,11 +62,28 @@ def save(table: DataFrame, path: str, settings: ParseSettings, labels: list[str]
                 source.close()
     finally:
         out.close()
-    system.delete(where, False)
-    system.rename(made, where)
+    replace(system, made, where)
     system.delete(parts_path, True)
 
 
+def replace(system, made, where) -> None:
+    """Gives a finished file the name of another. The other is put aside until that has worked, and put back if it has not."""
+    aside = None
+    if system.exists(where):
+        aside = where.suffix(f".{uuid.uuid4().hex}.old")
+        if not system.rename(where, aside):
+            raise OSError(f"cannot put {where} aside; the new file is {made}")
+    try:
+        moved = system.rename(made, where)
+    except Exception:
+        moved = False
+    if not moved:
+        back = aside is None or system.rename(aside, where)
+        raise OSError(f"cannot name the new file {where}; it is {made}" + ("" if back else f", the old one {aside}"))
+    if aside is not None:
+        system.delete(aside, False)
+
+
 def copied_text(rows: DataFrame, settings: ParseSettings, by: str = "row_id") -> str:
     """A selection as text, in the order of ``by``: ``display_idx`` for a sorted view. It must fit the clipboard."""
     cells = [F.col(c).cast("string") for c in rows.columns if c not in ("row_id", "display_idx")]

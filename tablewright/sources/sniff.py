@@ -40,17 +40,20 @@ def read_sample(spark: SparkSession, path: str, size: int = SAMPLE_BYTES) -> tup
         stream.close()
 
 
-def detect_encoding(sample: bytes) -> str:
-    """A byte order mark wins; then UTF-8 if the sample is valid; else windows-1252."""
+def detect_encoding(sample: bytes, length: int | None = None) -> str:
+    """A byte order mark wins; then UTF-8 if the sample is valid; else windows-1252.
+
+    ``length`` is that of the file: only a sample shorter than it may end inside a character. Where
+    it is not known, any sample may, but one that is nothing else says nothing of UTF-8.
+    """
     for mark, name in _BOMS:
         if sample.startswith(mark):
             return name
     try:
-        # A character cut off by the end of the sample is no error.
-        codecs.getincrementaldecoder("utf-8")().decode(sample)
-        return "utf-8"
+        text = codecs.getincrementaldecoder("utf-8")().decode(sample, length is not None and len(sample) >= length)
     except UnicodeDecodeError:
         return "windows-1252"
+    return "utf-8" if text or not sample else "windows-1252"
 
 
 def decode(sample: bytes, encoding: str) -> str:
@@ -130,11 +133,11 @@ def records(text: str, settings: ParseSettings) -> list[list[str]]:
 
 def sniff(spark: SparkSession, path: str) -> Sniffed:
     sample, length = read_sample(spark, path)
-    return Sniffed(settings_of(sample), sample, length)
+    return Sniffed(settings_of(sample, length), sample, length)
 
 
-def settings_of(sample: bytes) -> ParseSettings:
-    encoding = detect_encoding(sample)
+def settings_of(sample: bytes, length: int | None = None) -> ParseSettings:
+    encoding = detect_encoding(sample, length)
     text = decode(sample, encoding)
     quote = detect_quote(text)
     found = ParseSettings(delimiter=detect_delimiter(text, quote) or ",", quote=quote, escape=detect_escape(text, quote), line_ending=detect_line_ending(text), encoding=encoding)

@@ -1,10 +1,12 @@
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tablewright.operators import duplicates, ordering, overlay, paging, search
 from tablewright.operators.artefacts import Artefacts, source_key
 from tablewright.session import TableSession, initial_path
+from tablewright.sources import sink
 from tablewright.sources.settings import ParseSettings
 
 
@@ -196,3 +198,86 @@ def test_following_a_folder(spark, tmp_path):
     query = matching(rows, "APP", 1).writeStream.format("memory").queryName("followed").trigger(availableNow=True).start()
     query.awaitTermination()
     assert [tuple(r) for r in spark.table("followed").collect()] == [("a.csv", "1", "Apple")]
+
+
+def test_large_selections_stay_ranges_or_tables(spark, monkeypatch, tmp_path):
+    pending, t = overlay.Overlay(), spark.range(1000).withColumnRenamed("id", "row_id").withColumn("c0", F.lit("x"))
+    pending.delete_rows([(0, 799), (900, 10**12)])
+    pending.restore_rows([(100, 199)])
+    assert [r["row_id"] for r in pending.apply(t).orderBy("row_id").collect()] == [*range(100, 200), *range(800, 900)]
+    pending.clear()
+    pending.delete(range(0, 1000, 2))
+    assert pending.apply(t).count() == 500
+    # Tables keep their place among later changes.
+    pending.clear()
+    pending.delete([5])
+    pending.delete_rows(t.filter("row_id % 10 = 0").select("row_id"))
+    pending.restore([10, 20])
+    pending.delete_rows([(0, 3), (20, 20)])
+    left = {r["row_id"] for r in pending.apply(t).collect()}
+    assert left == set(range(1000)) - {5, *range(0, 1000, 10), *range(4)} | {10}
+    assert pending.deleted == set(range(1000)) - left
+    assert (pending.can_edit(10), pending.can_edit(20), pending.can_edit(30), pending.can_edit(31)) == (True, False, False, True)
+
+    path = tmp_path / "n.csv"
+    path.write_text("n,m\n" + "".join(f"{i},{99 - i}\n" for i in range(100)))
+    monkeypatch.setattr("tablewright.session.FEW_ROWS", 10)
+    session = TableSession(spark)
+    session.load(str(path), {"has_headers": True, "delimiter": ","})
+    session.sort_by(1, ascending=False)
+    session.delete_selection([(0, 10**9)])
+    assert session.view().count() == 0
+    session.restore_selection([(0, 4)])
+    assert {r["row_id"] for r in session.view().collect()} == set(session.sorted_ids(0, 5))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=5), st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=5))
+def test_subtracted(ranges, other):
+    inside = lambda rs: {i for a, b in rs for i in range(min(a, b), max(a, b) + 1)}
+    assert inside(overlay.subtracted(ranges, other)) == inside(ranges) - inside(other)
+
+
+def test_a_way_of_reading_has_its_own_copy(spark, tmp_path):
+    path = tmp_path / "q.csv"
+    path.write_bytes(b'a,b\n1,"x\ny"\n')
+    session = TableSession(spark)
+    given = {"has_headers": True, "delimiter": ",", "line_ending": "lf"}
+    session.load(str(path), given, reading="lines")
+    broken = session.chunk(0, 9)
+    session.load(str(path), given)
+    assert session.chunk(0, 9) == [["1", "x\ny"]] != broken
+
+
+class _Files:
+    """A file system that refuses some renames."""
+
+    def __init__(self, refused):
+        self.names, self.refused = {"old": "old", "made": "new"}, refused
+
+    def exists(self, name):
+        return name in self.names
+
+    def rename(self, a, b):
+        if (str(a).split(".")[0], str(b).split(".")[0]) == self.refused:
+            return False
+        self.names[b] = self.names.pop(a)
+        return True
+
+    def delete(self, name, _):
+        del self.names[name]
+
+
+class _Name(str):
+    def suffix(self, end):
+        return _Name(self + end)
+
+
+def test_a_failed_rename_loses_nothing():
+    files = _Files(None)
+    sink.replace(files, _Name("made"), _Name("old"))
+    assert files.names == {"old": "new"}
+    files = _Files(("made", "old"))
+    with pytest.raises(OSError, match="made"):
+        sink.replace(files, _Name("made"), _Name("old"))
+    assert files.names == {"old": "old", "made": "new"}

@@ -46,6 +46,10 @@ def test_encoding():
     assert sniff.detect_encoding("é€".encode("windows-1252")) == "windows-1252"
     assert sniff.detect_encoding("a".encode("utf-16")) == "utf-16le"
     assert sniff.detect_encoding(b"abc" + "é".encode()[:1]) == "utf-8"  # cut by the end of the sample
+    # With the length of the file known, an incomplete character at its end is none.
+    assert sniff.detect_encoding("Café".encode("windows-1252"), 4) == "windows-1252"
+    assert sniff.detect_encoding("Café".encode()[:4], 5) == "utf-8"
+    assert sniff.detect_encoding("Café".encode(), 5) == sniff.detect_encoding(b"", 0) == "utf-8"
 
 
 def test_labels():

@@ -178,3 +178,45 @@ def test_records_follow_the_policy(spark, write):
     assert found["repair"] == [(0, "1", "x", "p"), (1, "2", "y", ""), (2, "3", "z\nz", "q"), (3, "4", "", ""), (4, "5", "w\nw", "r")]
     warned = Source(spark, path, {"has_headers": True, "delimiter": ",", "line_ending": "lf"}, reading="records").warnings().collect()
     assert [(w["record"], w["kind"], w["len"]) for w in warned] == [(1, "unequal-lengths", 2), (2, "unequal-lengths", 4)]
+
+
+def test_accented_letter_at_the_end_of_the_file(spark, write):
+    source = Source(spark, write("a,b\n1,Café".encode("windows-1252")), {"has_headers": True, "delimiter": ","})
+    assert source.settings.encoding == "windows-1252"
+    assert cells(source) == [(0, "1", "Café")]
+
+
+def test_unknown_encoding_labels_change_nothing(spark, write):
+    source = Source(spark, write("a,b\n1,é\n"), {"has_headers": True, "encoding": "no-such-label"})
+    assert source.settings.encoding == "utf-8"
+    assert cells(source) == [(0, "1", "é")]
+
+
+def test_the_way_to_divide_a_file(spark, write, monkeypatch):
+    monkeypatch.setattr("tablewright.sources.delimited.SPLIT_BYTES", 0)
+    given = {"has_headers": True, "delimiter": ",", "line_ending": "lf", "quote": "double", "escape": "none"}
+    rows = 'a,b\n1,"x\ny ""z"""\n"2",""\n'
+    for text, way in (("a,b\n1,x\n2,\n", "lines"), (rows, "records"), (rows + '3,5" wide\n4,6" wide\n', "whole"), (rows + '"3" ,x\n', "whole"), ("a,b\n1,é\n".encode("windows-1252"), "lines"), ('a,b\n1,"é"\n'.encode("windows-1252"), "whole")):
+        source = Source(spark, write(text, f"w{len(text)}{way}.csv"), given)
+        assert source.reading == way, text
+        assert cells(source) == cells(Source(spark, source.path, given, reading="whole"))
+    assert Source(spark, write("a,b\n1,x\n".encode("utf-16"), "u.csv"), given).reading == "whole"
+
+
+def test_where_warnings_are(spark, write):
+    text = '﻿a,b\r\n1,2\r\n\r\n"é\r\n",3\r\n4\r\n5,6,7\r\n'
+    found = Source(spark, write(text), {"has_headers": True, "delimiter": ",", "quote": "double"}).warnings().collect()
+    data = text.encode()
+    assert [(r["record"], r["line"], data[r["byte"] : r["byte"] + 1], r["len"]) for r in found] == [(2, 6, b"4", 1), (3, 7, b"5", 3)]
+    latin = Source(spark, write("a,b\n1\né,2\n".encode("windows-1252"), "l.csv"), {"has_headers": True, "delimiter": ","}).warnings().collect()
+    assert [(r["record"], r["line"], r["byte"], r["len"]) for r in latin] == [(0, None, None, 1)]
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    spark.createDataFrame([(3, "a", 1.5), (1, "b", None), (2, None, 2.5)], "k long, name string, x double").write.parquet(f"{tmp_path}/t")
+    table = from_table(spark.read.parquet(f"{tmp_path}/t"), "k")
+    assert [tuple(r) for r in table.orderBy("row_id").collect()] == [(0, "1", "b", ""), (1, "2", "", "2.5"), (2, "3", "a", "1.5")]
+    found = search.search(table.select("row_id", "name"), "a", 0, whole_cell=True, match_case=True)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(name,a)" in plan
+    assert [r["row_id"] for r in found.collect()] == [2]

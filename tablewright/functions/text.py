@@ -41,9 +41,14 @@ def formatted_row(cells: list[Column], delimiter: str, quote: str) -> Column:
     return F.concat_ws(delimiter, *[formatted_cell(c, delimiter, quote) for c in cells])
 
 
-def matches(cell: Column, query: str, *, whole_cell: bool = False, match_case: bool = False) -> Column:
-    """Whether a cell contains the query, or with ``whole_cell`` equals it. An absent cell never matches."""
+def compared(cell: Column, query: str, *, whole_cell: bool = False, match_case: bool = False) -> Column:
+    """As ``matches``, but null for an absent cell: in a filter that is the same, and a scan can push it down."""
     wanted = F.lit(query)
     if not match_case:
         cell, wanted = F.lower(cell), F.lower(wanted)
-    return F.coalesce(cell == wanted if whole_cell else F.contains(cell, wanted), F.lit(False))
+    return cell == wanted if whole_cell else F.contains(cell, wanted)
+
+
+def matches(cell: Column, query: str, *, whole_cell: bool = False, match_case: bool = False) -> Column:
+    """Whether a cell contains the query, or with ``whole_cell`` equals it. An absent cell never matches."""
+    return F.coalesce(compared(cell, query, whole_cell=whole_cell, match_case=match_case), F.lit(False))

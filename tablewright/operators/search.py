@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.text import matches, truncate_utf8
+from tablewright.functions.text import compared, matches, truncate_utf8
 from tablewright.storage import Scratch
 
 #: Bytes of a cell that the index keeps, and kinds of cells beyond which a column is left out.
@@ -25,12 +25,12 @@ def cell_names(table: DataFrame) -> list[str]:
 
 
 def predicate(table: DataFrame, query: str, column: int | None = None, *, whole_cell: bool = False, match_case: bool = False) -> Column:
-    """Matches in one column by position, or in any. A position out of range matches nothing."""
+    """A filter for matches in one column by position, or in any. A position out of range matches nothing."""
     cells = cell_names(table)
     if column is not None and not 0 <= column < len(cells):
         return F.lit(False)
     tested = cells if column is None else [cells[column]]
-    return reduce(lambda a, b: a | b, [matches(F.col(c), query, whole_cell=whole_cell, match_case=match_case) for c in tested], F.lit(False))
+    return reduce(lambda a, b: a | b, [compared(F.col(c), query, whole_cell=whole_cell, match_case=match_case) for c in tested], F.lit(False))
 
 
 def search(table: DataFrame, query: str, column: int | None = None, *, whole_cell: bool = False, match_case: bool = False) -> DataFrame:

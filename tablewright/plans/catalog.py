@@ -44,12 +44,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _cells(spark: SparkSession, sf_dir: str, name: str, key: str, columns: Sequence[str] = ()) -> DataFrame:
+def _cells(spark: SparkSession, sf_dir: str, name: str, key: str, columns: Sequence[str] = (), fill: bool = True) -> DataFrame:
     """row_id and the text of some columns (all without a list)."""
     df = _read(spark, sf_dir, name)
-    if not columns:
-        return from_table(df, key)
-    return from_table(df.select(key, *[c for c in columns if c != key]), key).select("row_id", *columns)
+    columns = list(columns) or df.columns
+    return from_table(df.select(key, *[c for c in columns if c != key]), key, fill).select("row_id", *columns)
 
 
 def _ids_sql(name: str, key: str, where: str) -> str:
@@ -61,22 +60,22 @@ def _ids_sql(name: str, key: str, where: str) -> str:
 
 @_query(_ids_sql("part", "p_partkey", "contains(lower(p_name), 'blue')"))
 def search_contains_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(_cells(spark, sf_dir, "part", "p_partkey", ["p_name"]), "BLUE", 0)
+    return search.search(_cells(spark, sf_dir, "part", "p_partkey", ["p_name"], fill=False), "BLUE", 0)
 
 
 @_query(_ids_sql("part", "p_partkey", "contains(p_type, 'ECONO')"))
 def search_contains_cs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(_cells(spark, sf_dir, "part", "p_partkey", ["p_type"]), "ECONO", 0, match_case=True)
+    return search.search(_cells(spark, sf_dir, "part", "p_partkey", ["p_type"], fill=False), "ECONO", 0, match_case=True)
 
 
 @_query(_ids_sql("events", "event_id", "lower(event_type) = 'click'"))
 def search_cell_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(_cells(spark, sf_dir, "events", "event_id", ["event_type"]), "CLICK", 0, whole_cell=True)
+    return search.search(_cells(spark, sf_dir, "events", "event_id", ["event_type"], fill=False), "CLICK", 0, whole_cell=True)
 
 
 @_query(_ids_sql("customer", "c_custkey", "c_mktsegment = 'BUILDING'"))
 def search_cell_cs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(_cells(spark, sf_dir, "customer", "c_custkey", ["c_mktsegment"]), "BUILDING", 0, whole_cell=True, match_case=True)
+    return search.search(_cells(spark, sf_dir, "customer", "c_custkey", ["c_mktsegment"], fill=False), "BUILDING", 0, whole_cell=True, match_case=True)
 
 
 _PART_COLUMNS = ("p_partkey", "p_name", "p_brand", "p_type", "p_size")
@@ -84,12 +83,12 @@ _PART_COLUMNS = ("p_partkey", "p_name", "p_brand", "p_type", "p_size")
 
 @_query(_ids_sql("part", "p_partkey", " OR ".join(f"contains(lower({c}::VARCHAR), '1')" for c in _PART_COLUMNS)))
 def search_any_column(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(_cells(spark, sf_dir, "part", "p_partkey", _PART_COLUMNS), "1")
+    return search.search(_cells(spark, sf_dir, "part", "p_partkey", _PART_COLUMNS, fill=False), "1")
 
 
 @_query(_ids_sql("documents", "doc_id", "contains(lower(text), 'the')"))
 def search_text_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(_cells(spark, sf_dir, "documents", "doc_id", ["text"]), "The", 0)
+    return search.search(_cells(spark, sf_dir, "documents", "doc_id", ["text"], fill=False), "The", 0)
 
 
 @_query(_ids_sql("nation", "n_nationkey", "false"))

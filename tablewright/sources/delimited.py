@@ -217,23 +217,23 @@ def _field_counter(settings: ParseSettings):
     return n_fields
 
 
-def from_table(df: DataFrame, key: str | list[str]) -> DataFrame:
+def from_table(df: DataFrame, key: str | list[str], fill: bool = True) -> DataFrame:
     """Any DataFrame as row_id and text cells: ids are ranks of a unique key, cells keep their names.
 
     The rank is found without a global window: the keys alone are range-partitioned and written
     once, and each partition is shifted by the rows before it. Rows meet their ranks in a join on
-    the key, so a filter on cells still reaches the scan of ``df``.
+    the key, so a filter on cells still reaches the scan of ``df``. Null cells become empty ones;
+    with ``fill`` off they stay null, which matches the same for any query that is not empty and
+    lets comparisons with constants be pushed down as well.
     """
     from tablewright.operators.ordering import dense_rank_ids
 
     keys = [key] if isinstance(key, str) else key
     ranks = dense_rank_ids(df.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]), [F.col(f"__k{i}") for i in range(len(keys))], "row_id")
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
-    return df.join(ranks, same).select("row_id", *[_cell(df, c) for c in df.columns])
+    return df.join(ranks, same).select("row_id", *[_cell(df, c, fill) for c in df.columns])
 
 
-def _cell(df: DataFrame, name: str) -> Column:
-    """A column as text, empty where it is null; in this form, comparisons with constants are pushed down to its source."""
-    c = F.col(name)
-    c = c if isinstance(df.schema[name].dataType, T.StringType) else c.cast("string")
-    return F.when(c.isNull(), F.lit("")).otherwise(c).alias(name)
+def _cell(df: DataFrame, name: str, fill: bool) -> Column:
+    c = F.col(name) if isinstance(df.schema[name].dataType, T.StringType) else F.col(name).cast("string")
+    return (F.coalesce(c, F.lit("")) if fill else c).alias(name)

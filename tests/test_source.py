@@ -216,6 +216,7 @@ def test_filters_reach_the_scan(spark, tmp_path):
     spark.createDataFrame([(3, "a", 1.5), (1, "b", None), (2, None, 2.5)], "k long, name string, x double").write.parquet(f"{tmp_path}/t")
     table = from_table(spark.read.parquet(f"{tmp_path}/t"), "k")
     assert [tuple(r) for r in table.orderBy("row_id").collect()] == [(0, "1", "b", ""), (1, "2", "", "2.5"), (2, "3", "a", "1.5")]
+    table = from_table(spark.read.parquet(f"{tmp_path}/t"), "k", fill=False)
     found = search.search(table.select("row_id", "name"), "a", 0, whole_cell=True, match_case=True)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(name,a)" in plan

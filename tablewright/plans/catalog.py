@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.operators import duplicates, ordering, overlay, paging, search
+from tablewright.plans import behaviour
 from tablewright.sources import sink
 from tablewright.sources.delimited import Source, from_table, with_size_policy
 from tablewright.sources.settings import ParseSettings
@@ -23,11 +24,11 @@ _ORACLES: dict[str, str] = {}
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | behaviour.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return _ORACLES | behaviour.oracle_sql()
 
 
 def _query(sql: str | None = None) -> Callable[[Query], Query]:

@@ -4,18 +4,19 @@ Each round links every node to the smallest node it can see, first among its lar
 among its smaller neighbours; the edges end as one star per component. Nodes meet their
 neighbours only through a minimum, which combines before it is shuffled, and a join with
 one row per node on the other side, so a node with very many links is no bottleneck. The
-edges of every round are written to shared storage; nothing is collected.
+edges of every round are written to shared storage; nothing is collected. The rounds end when
+the edges no longer change, after a number in proportion to the logarithm of the nodes.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.storage import Scratch
 
-MAX_ROUNDS = 60
-
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """(u, v) with u > v: every neighbour of u that is larger than u is linked to the smallest of u and its neighbours."""
@@ -36,7 +37,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
     """node, component (its smallest node) for every node of ``edges`` (u, v); loops are ignored."""
     edges = scratch.table(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), f"{name}-0")
     mark = None
-    for n in range(1, MAX_ROUNDS + 1):
+    for n in itertools.count(1):
         large = scratch.table(_large_star(edges), f"{name}-{n}-large")
         edges = scratch.table(_small_star(large), f"{name}-{n}")
         scratch.drop(f"{name}-{n}-large")
@@ -45,7 +46,5 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
         if mark == tuple(row):
             break
         mark = tuple(row)
-    else:
-        raise RuntimeError(f"no end after {MAX_ROUNDS} rounds")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return scratch.table(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots), f"{name}-end")

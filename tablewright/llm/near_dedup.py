@@ -1,32 +1,39 @@
 """Near-duplicate groups by an LSH forest over MinHash signatures.
 
 A document is the set of its word shingles. Documents with equal sets form one class and go
-on as one node. A node's signature has ``trees`` sequences of ``depth`` minima; each
+on as one node, numbered by the class; identifiers are carried beside and only name the
+groups at the end. A node's signature has ``trees`` sequences of ``depth`` minima; each
 sequence gives one sorted order of all nodes, the leaves of a prefix tree. Candidates are
 neighbours in these orders that share a prefix of at least ``min_depth``. The depth adapts
-to the region: where at most ``dense`` nodes share that prefix, all of them are neighbours;
-in a denser region a node meets those with the longest common prefix, right before it in
-the order, and the hub of the region, the node that most often lies in its most frequent
-leaf. For a family of copies that is the original, to which each copy is closest.
+to the region: a node meets all nodes that share its shortest prefix that at most ``dense``
+nodes have shared so far. Where even the full depth is denser, as in a family of copies, it
+meets those right before it in the order. In every region dense at ``min_depth`` it also
+meets the hub, the node that most often lies in the most frequent leaf of such regions: for a
+family of copies that is the original, to which each copy is closest.
 
 Every link is confirmed on the full shingle sets of both texts, in rounds: first each
 node's best candidate and the hubs, then whatever candidates still join different
 components; links within one component could not change the result. In dense regions, where
 not all neighbours are candidates, the nodes that are still apart from their hub are the
-rest: they are held, in blocks, against all nodes of dense regions.
-Components come from alternating stars.
+rest. They are held against the nodes of their own regions in a split join: a region's rest is
+cut into blocks that fit into memory, its nodes into runs that pass by, and every block meets
+every run in some task, which compares signatures and then full sets. Components come from
+alternating stars.
 
 Scale: one scan makes signatures, which are written once. The orders are range-partitioned
 by prefix, sequence and node, so a huge region spans many tasks; rows at the ends of
 partitions are matched in a small second step, so the cut between tasks loses no pair.
-Candidates grow with the number of nodes: at most ``dense`` per node and tree in small
-regions and three in dense ones, never with the square of a group. Only texts of nodes that
-have candidates are moved.
+Candidates grow with the number of nodes, never with the square of a group. Only texts of
+nodes that have candidates are moved. The split join alone grows with the rest times the nodes
+of a region; only confirmed links leave its tasks.
 
 Defined results: a null text counts as empty; an empty document has no shingles and is
 linked with nothing; one of fewer words than a shingle is a single shingle; rows that share
-a doc_id are one document; a null doc_id never becomes a component, so a class without any
-has component null; an empty table gives an empty result; other columns do not matter.
+a doc_id but not their text are separate documents, and any of them may link; the component
+is the smallest doc_id of its rows, null if none of them has one; rows without a doc_id are
+compared like others. Of a component the rows whose doc_id is its own are kept; if it has
+none, the copies of one text. Rows equal in doc_id and text stay or go together. An empty table
+gives an empty result; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -42,7 +49,7 @@ from pyspark.sql import functions as F
 
 from tablewright.llm.graph import components
 from tablewright.storage import Scratch
-from tablewright.llm.words import WordHashes, as_bytes, lowered_words, map_batches, mixed, shingles
+from tablewright.llm.words import WordHashes, as_bytes, lowered_words, map_batches, mixed, shingles, slices
 
 
 @dataclass(frozen=True)
@@ -77,27 +84,40 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
+def _row_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    return F.xxhash64(docs[id_col].cast("long"), docs[text_col].cast("string"))
+
+
 def sketch(docs: DataFrame, settings: Settings, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, digest of the set and signature; the last two null for an empty document."""
+    """doc_id, key (a hash of identifier and text), n_shingles, digest of the set and signature; the last two null for an empty document."""
     n = settings.trees * settings.depth
 
     def make():
         hashes = WordHashes()
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [shingles(hashes.of(lowered_words(t)), settings.words) for t in as_bytes(batch.column(1))]
+            sets = [shingles(hashes.of(lowered_words(t)), settings.words) for t in as_bytes(batch.column(2))]
             digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             signatures = [signature(s, n) if len(s) else None for s in sets]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())], names=["doc_id", "n_shingles", "digest", "signature"])
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())], names=["doc_id", "key", "n_shingles", "digest", "signature"])
 
         return each
 
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return map_batches(rows, make, "doc_id long, n_shingles long, digest binary, signature binary")
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), _row_key(docs, id_col, text_col).alias("key"), docs[text_col].cast("string").alias("text"))
+    return map_batches(rows, make, "doc_id long, key long, n_shingles long, digest binary, signature binary")
+
+
+def classes_of(sketched: DataFrame) -> DataFrame:
+    """node, digest, signature, least (the smallest doc_id) and a row to take the text from, for each different set.
+
+    The node is a number of the class. It must be written before it is used.
+    """
+    rows = sketched.filter("digest is not null").groupBy("digest").agg(F.first("signature").alias("signature"), F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "key")).alias("row"))
+    return rows.sortWithinPartitions("digest").select(F.monotonically_increasing_id().alias("node"), "digest", "signature", "least", F.col("row.doc_id").alias("row_id"), F.col("row.key").alias("row_key"))
 
 
-#: Strays that are held against the nodes of dense regions at a time, and bytes of their texts.
-STRAYS, STRAY_BYTES = 4096, 8 << 20
+#: Nodes that a task of the split join holds at a time, bytes of their texts, and nodes that pass by it.
+HELD, HELD_BYTES, PASSING = 1024, 8 << 20, 1 << 15
 
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("edge", pa.int64()), ("tree", pa.int32()), ("key", pa.binary()), ("node", pa.int64())])
 
@@ -106,23 +126,36 @@ class _Order:
     """Walks one sorted run of (tree, key, node) and gives the neighbours that become candidates."""
 
     def __init__(self, settings: Settings) -> None:
-        self.dense, self.near, self.bytes = settings.dense, settings.near, 2 * settings.min_depth
-        self.region: tuple[int, bytes] | None = None
-        self.head: list[int] = []
+        self.dense, self.near = settings.dense, settings.near
+        #: Bytes of a prefix at every depth, the shortest first, and the first nodes of the region of each.
+        self.widths = [2 * d for d in range(settings.min_depth, max(settings.depth, settings.min_depth) + 1)]
+        self.tree, self.key = None, b""
+        self.heads: list[list[int]] = [[] for _ in self.widths]
+        self.sizes = [0] * len(self.widths)
         self.tail: list[int] = []
-        self.size = 0
 
     def step(self, tree: int, key: bytes, node: int) -> list[tuple[int, int]]:
         """The pairs of this row with rows before it."""
-        region = (tree, key[: self.bytes])
-        if region != self.region:
-            self.region, self.head, self.tail, self.size = region, [], [], 0
-        others = self.head if self.size < self.dense else self.tail
+        kept = 0
+        if tree == self.tree:
+            while kept < len(self.widths) and key[: self.widths[kept]] == self.key[: self.widths[kept]]:
+                kept += 1
+        for i in range(kept, len(self.widths)):
+            self.heads[i], self.sizes[i] = [], 0
+        if not kept:
+            self.tail = []
+        self.tree, self.key = tree, key
+        others = self.tail
+        for head, size in zip(self.heads, self.sizes, strict=True):
+            if size < self.dense:
+                others = [x for x in self.tail if x not in head] + head if size else self.tail
+                break
         pairs = [(x, node) for x in others if x != node]
-        if self.size < self.dense:
-            self.head = [*self.head, node]
+        for i, head in enumerate(self.heads):
+            if self.sizes[i] < self.dense:
+                head.append(node)
+            self.sizes[i] += 1
         self.tail = [*self.tail, node][-self.near :]
-        self.size += 1
         return pairs
 
 
@@ -217,19 +250,20 @@ def candidates(nodes: DataFrame, settings: Settings, scratch: Scratch) -> DataFr
     return scratch.table(pairs, "pairs")
 
 
-def _bucket(node: Column) -> Column:
+def _bucket(key: Column) -> Column:
     """One of 2^18 buckets: a set of them may be broadcast, whatever the size of the corpus."""
-    return F.pmod(F.xxhash64(node), F.lit(1 << 18)).cast("int")
+    return F.pmod(key, F.lit(1 << 18)).cast("int")
 
 
-def _texts_of(docs: DataFrame, pairs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
-    """node, text of every node with a candidate."""
-    nodes = scratch.table(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "pair-nodes")
-    buckets = nodes.select(_bucket(F.col("node")).alias("bucket")).distinct()
-    rows = docs.select(docs[id_col].cast("long").alias("node"), docs[text_col].cast("string").alias("text"))
-    rows = rows.withColumn("bucket", _bucket(F.col("node"))).join(F.broadcast(buckets), "bucket", "left_semi").drop("bucket")
-    # Rows that share a doc_id are one document; which text of several stands for it must not vary between runs.
-    return scratch.table(rows.join(nodes, "node").groupBy("node").agg(F.max("text").alias("text")), "pair-texts")
+def _texts_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
+    """node, text of every node with a candidate: the text of one row of its class."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    nodes = scratch.table(classes.select("node", "row_id", "row_key").join(nodes, "node"), "pair-nodes")
+    buckets = nodes.select(_bucket(F.col("row_key")).alias("bucket")).distinct()
+    rows = docs.select(docs[id_col].cast("long").alias("id"), _row_key(docs, id_col, text_col).alias("row_key"), docs[text_col].cast("string").alias("text"))
+    rows = rows.withColumn("bucket", _bucket(F.col("row_key"))).join(F.broadcast(buckets), "bucket", "left_semi").drop("bucket")
+    found = rows.join(nodes, "row_key").filter(F.col("id").eqNullSafe(F.col("row_id")))
+    return scratch.table(found.groupBy("node").agg(F.max("text").alias("text")), "pair-texts")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
@@ -256,40 +290,45 @@ def confirm(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame
     return map_batches(rows.select("a", "b", "text_a", "text_b"), make, "a long, b long")
 
 
-def _links_with(nodes: DataFrame, block: list, settings: Settings) -> DataFrame:
-    """a < b: links of nodes with nodes of the block in other components.
+def _split_links(rows: DataFrame, settings: Settings) -> DataFrame:
+    """a < b: links of the rest of dense regions with nodes of their regions in other components.
 
-    Signatures are compared first. An estimate from n minima has a standard error of
-    sqrt(s (1 - s) / n); four of them are allowed for. What is left is compared on the full
+    ``rows`` has part (a block of some region's rest and a run of its nodes), rest, node,
+    component, signature, text. Signatures are compared first. An estimate from n minima has a standard error
+    of sqrt(s (1 - s) / n); four of them are allowed for. What is left is compared on the full
     sets at once, so only links leave a task.
     """
     n, share = settings.trees * settings.depth, settings.percent / 100
     least = int(n * (share - 4 * (share * (1 - share) / n) ** 0.5))
-    held = nodes.sparkSession.sparkContext.broadcast([(r["node"], r["component"], r["signature"], r["text"].encode()) for r in block])
-
-    def make():
-        rows, hashes, sets = held.value, WordHashes(), {}
-        ids, of = (np.array([r[i] for r in rows], dtype=np.int64) for i in (0, 1))
-        signatures = np.frombuffer(b"".join(r[2] for r in rows), dtype=">u2").astype(np.uint16).reshape(len(rows), n)
 
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        part, held, matrix, sets = None, [], None, {}
+        for batch in slices(batches):
             a, b = [], []
-            for node, component, signature, text in zip(*(batch.column(i).to_pylist() for i in range(3)), as_bytes(batch.column(3)), strict=True):
-                equal = (signatures == np.frombuffer(signature, dtype=">u2").astype(np.uint16)).sum(axis=1)
+            minima = [np.frombuffer(x, dtype=">u2").astype(np.uint16) for x in batch.column(4).to_pylist()]
+            for this, rest, node, component, signature, text in zip(*(batch.column(i).to_pylist() for i in range(4)), minima, as_bytes(batch.column(5)), strict=True):
+                if this != part:
+                    part, held, matrix, sets = this, [], None, {}
+                if rest:
+                    held.append((node, component, signature, text))
+                    continue
+                if not held:
+                    continue
+                if matrix is None:
+                    matrix, of = np.stack([r[2] for r in held]), np.array([r[1] for r in held], dtype=np.int64)
                 mine = None
-                for i in np.flatnonzero((equal >= least) & (of != component)).tolist():
+                for i in np.flatnonzero(((matrix == signature).sum(axis=1) >= least) & (of != component)).tolist():
                     if mine is None:
                         mine = shingles(hashes.of(lowered_words(text)), settings.words)
                     if i not in sets:
-                        sets[i] = shingles(hashes.of(lowered_words(rows[i][3])), settings.words)
+                        sets[i] = shingles(hashes.of(lowered_words(held[i][3])), settings.words)
                     if linked(mine, sets[i], settings.percent):
-                        a.append(min(node, int(ids[i])))
-                        b.append(max(node, int(ids[i])))
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-        return each
+                        a.append(min(node, held[i][0]))
+                        b.append(max(node, held[i][0]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return map_batches(nodes.select("node", "component", "signature", "text"), make, "a long, b long")
+    return rows.select("part", "rest", "node", "component", "signature", "text").mapInArrow(run, "a long, b long")
 
 
 class NearDedup:
@@ -297,13 +336,12 @@ class NearDedup:
 
     def __init__(self, docs: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
         settings = settings or Settings()
-        self.docs, self.id_col = docs, id_col
+        self.docs, self.id_col, self.text_col = docs, id_col, text_col
         scratch = Scratch(docs.sparkSession, "near-dedup")
         self.sketch = scratch.table(sketch(docs, settings, id_col, text_col), "sketch")
-        classes = self.sketch.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"))
-        self.classes = scratch.table(classes, "classes")
-        pairs = candidates(self.classes.filter("node is not null").dropDuplicates(["node"]), settings, scratch)
-        texts = _texts_of(docs, pairs, scratch, id_col, text_col)
+        self.classes = scratch.table(classes_of(self.sketch), "classes")
+        pairs = candidates(self.classes.select("node", "signature"), settings, scratch)
+        texts = _texts_of(docs, self.classes, pairs, scratch, id_col, text_col)
 
         both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "votes").union(pairs.select("b", "a", "votes"))
         best = both.groupBy("x").agg(F.max(F.struct("votes", "y")).alias("top")).select(F.least("x", "top.y").alias("a"), F.greatest("x", "top.y").alias("b"))
@@ -317,45 +355,54 @@ class NearDedup:
         more = scratch.table(confirm(rest, texts, settings), "links-2").withColumnsRenamed({"a": "u", "b": "v"})
         links = links.union(more)
         stars = components(links, scratch, "components-2")
-        last = self._stray_links(pairs, stars, texts, settings, scratch)
+        last = self._rest_links(stars, texts, settings, scratch)
         if last is not None:
             stars = components(links.union(last), scratch, "components-3")
-        self.members = scratch.table(self.classes.join(stars, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id")), "members")
-
-    def _stray_links(self, pairs: DataFrame, stars: DataFrame, texts: DataFrame, settings: Settings, scratch: Scratch) -> DataFrame | None:
-        """Links of nodes in dense regions that their hubs did not reach; None if there are no such nodes.
-
-        The strays are held against all nodes of dense regions, some thousands at a time.
-        """
-        of = lambda side: stars.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-        hubs = pairs.filter("hub").select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
-        hubs = scratch.table(hubs.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")), "hub-components")
-        ends = lambda rows: rows.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ca").alias("component")), F.struct(F.col("b").alias("node"), F.col("cb").alias("component")))).alias("x")).select("x.*").distinct()
-        strays = ends(hubs.filter("ca <> cb"))
-        if strays.isEmpty():
+        named = self.classes.select("node", "digest", "least", "row_key").join(stars, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        named = scratch.table(named, "named")
+        # Without any identifier, the smallest text key stands for the component.
+        ids = named.groupBy("component").agg(F.min("least").alias("component_id"), F.min("row_key").alias("component_key"))
+        self.members = scratch.table(named.select("digest", "component").join(scratch.table(ids, "component-ids"), "component").select("digest", "component_id", "component_key"), "members")
+
+    def _rest_links(self, stars: DataFrame, texts: DataFrame, settings: Settings, scratch: Scratch) -> DataFrame | None:
+        """Links of nodes in dense regions that their hubs did not reach; None if there are no such nodes."""
+        spark, region = texts.sparkSession, ["tree", "prefix"]
+        hubs, rows = (spark.read.parquet(scratch.at(name)) for name in ("hubs", "dense-rows"))
+        of = stars.select("node", "component")
+        rows = rows.select(*region, "node").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        hubs = hubs.withColumnRenamed("hub", "node").join(of, "node", "left").select(*region, F.coalesce("component", "node").alias("hub_component"))
+        rows = scratch.table(rows.join(scratch.table(hubs, "hub-components"), region).withColumn("rest", F.col("component") != F.col("hub_component")).drop("hub_component"), "region-rows")
+        if rows.filter("rest").isEmpty():
             return None
-        signed = self.classes.select("node", "signature").filter("node is not null").dropDuplicates(["node"]).join(texts, "node")
-        strays = scratch.table(strays.join(signed, "node"), "strays")
-        dense = scratch.table(ends(hubs).join(signed, "node"), "dense-nodes")
-        size = strays.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
-        n_blocks = max(size["n"] // STRAYS, (size["bytes"] or 0) // STRAY_BYTES) + 1
-        found = None
-        for block in range(n_blocks):
-            held = strays.filter(F.pmod(F.xxhash64("node"), F.lit(n_blocks)) == block).collect()
-            links = scratch.table(_links_with(dense, held, settings), f"links-3-{block}")
-            found = links if found is None else found.union(links)
-        return found.withColumnsRenamed({"a": "u", "b": "v"})
+        sizes = rows.filter("rest").join(texts.select("node", F.octet_length("text").alias("bytes")), "node")
+        sizes = sizes.groupBy(*region).agg((F.greatest(F.count(F.lit(1)) / HELD, F.sum("bytes") / HELD_BYTES).cast("int") + 1).alias("blocks"))
+        sizes = rows.groupBy(*region).agg((F.count(F.lit(1)) / PASSING + 1).cast("int").alias("runs")).join(sizes, region)
+        rows = rows.join(scratch.table(sizes, "region-sizes"), region)
+        number = lambda of_what: F.pmod(F.xxhash64("node", F.lit(7)), F.col(of_what))
+        # Every block of a region's rest meets every run of its nodes.
+        held = rows.filter("rest").select(*region, "node", "component", F.lit(True).alias("rest"), number("blocks").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs").cast("long") - 1)).alias("run"))
+        passing = rows.select(*region, "node", "component", F.lit(False).alias("rest"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("block"), number("runs").alias("run"))
+        signed = scratch.table(self.classes.select("node", "signature").join(texts, "node"), "signed")
+        met = held.union(passing).withColumn("part", F.xxhash64(*region, "block", "run")).select("part", "rest", "node", "component").join(signed, "node")
+        met = met.repartition("part").sortWithinPartitions("part", F.col("rest").desc(), "node")
+        return scratch.table(_split_links(met, settings).distinct(), "links-3").withColumnsRenamed({"a": "u", "b": "v"})
+
+    def _judged(self) -> DataFrame:
+        """doc_id, key, n_shingles, component_id and whether the rows stay."""
+        rows = self.sketch.select("doc_id", "key", "n_shingles", "digest").join(self.members, "digest", "left")
+        alone, own = F.col("digest").isNull(), F.col("doc_id").eqNullSafe(F.col("component_id"))
+        kept = F.when(alone, F.lit(True)).when(F.col("doc_id").isNull() & F.col("component_id").isNull(), F.col("key") == F.col("component_key")).otherwise(own)
+        return rows.select("doc_id", "key", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), kept.alias("kept"))
 
     def groups(self) -> DataFrame:
-        """doc_id, n_shingles, component_id, kept."""
-        rows = self.sketch.select("doc_id", "n_shingles", "digest").join(self.members, "digest", "left")
-        component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-        return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+        """doc_id, n_shingles, component_id, kept (doc_id = component_id)."""
+        return self._judged().select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
     def survivors(self) -> DataFrame:
         """The rows of one document per group, with the columns of the input."""
-        gone = self.groups().filter("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
-        return self.docs.join(gone, self.docs[self.id_col].cast("long") == F.col("__gone"), "left_anti")
+        gone = self._judged().filter("not kept").select(F.col("doc_id").alias("__gone"), F.col("key").alias("__gone_key")).distinct()
+        same = (_row_key(self.docs, self.id_col, self.text_col) == F.col("__gone_key")) & self.docs[self.id_col].cast("long").eqNullSafe(F.col("__gone"))
+        return self.docs.join(gone, same, "left_anti")
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

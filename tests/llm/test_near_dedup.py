@@ -171,3 +171,56 @@ def test_similarity_is_exact_at_the_threshold():
     a = np.arange(80, dtype=np.uint64)
     assert near_dedup.linked(a, np.arange(100, dtype=np.uint64), 80)
     assert not near_dedup.linked(a[:79], np.arange(100, dtype=np.uint64), 80)
+
+
+def near(text, at):
+    words = text.split()
+    words[at] = "edited"
+    return " ".join(words)
+
+
+def test_texts_that_share_an_identifier_are_separate_documents(spark):
+    x, y = (" ".join(f"{c}{i}" for i in range(100)) for c in "xy")
+    found = NearDedup(spark.createDataFrame([(1, x), (1, y), (2, near(x, 3)), (3, near(y, 90)), (4, "other words of no one else")], "doc_id long, text string"))
+    assert {(r["doc_id"], r["component_id"]) for r in found.groups().collect()} == {(1, 1), (2, 1), (3, 1), (4, 4)}
+    assert sorted(r["doc_id"] for r in found.survivors().collect()) == [1, 1, 4]
+
+
+def test_documents_without_an_identifier_link_others(spark):
+    words = [f"w{i}" for i in range(200)]
+    step = lambda n: " ".join(f"z{n}-{i}" if i < 14 * n else w for i, w in enumerate(words))
+    lone = [(None, " ".join(f"q{i}" for i in range(50))), (None, " ".join([*(f"q{i}" for i in range(49)), "end"]))]
+    found = NearDedup(spark.createDataFrame([(1, step(0)), (None, step(1)), (3, step(2)), *lone], "doc_id long, text string"))
+    assert brute([(0, step(0)), (1, step(2))], 5)[1][1] == 1  # too far from each other
+    groups = sorted(((r["doc_id"], r["component_id"]) for r in found.groups().collect()), key=str)
+    assert groups == sorted([(1, 1), (3, 1), (None, 1), (None, None), (None, None)], key=str)
+    kept = [r["text"] for r in found.survivors().collect()]
+    assert len(kept) == 2 and step(0) in kept
+
+
+def test_families_that_share_a_region(spark, monkeypatch):
+    """Hubs reach one family each; the rest is found by the split join, in many blocks and runs."""
+    monkeypatch.setattr(near_dedup, "HELD", 8)
+    monkeypatch.setattr(near_dedup, "PASSING", 16)
+    draw = random.Random(12)
+    word = lambda: "".join(draw.choices("abcdefghij", k=5))
+    base, rows = [word() for _ in range(200)], []
+    for family in range(4):
+        words = list(base)
+        words[family * 40 : family * 40 + 26] = [word() for _ in range(26)]
+        for _ in range(30):
+            copy = list(words)
+            for at in draw.sample(range(160, 200), 3):
+                copy[at] = word()
+            rows.append((len(rows), " ".join(copy)))
+    draw.shuffle(rows)
+    found = NearDedup(spark.createDataFrame(rows, "doc_id long, text string"), Settings(words=4)).groups().collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute(rows, 4)
+
+
+def test_depth_adapts_to_the_region():
+    """Of a dense region, every small region inside gives all its pairs."""
+    order, rows = _Order(Settings(dense=4, near=1)), sorted(bytes([0, 1] * 4 + [0, i] + [0, j] * 3) for i in range(20) for j in range(3))
+    pairs = {p for n, key in enumerate(rows) for p in order.step(0, key, n)}
+    assert {(a, b) for a, b in combinations(range(60), 2) if a // 3 == b // 3} <= pairs
+    assert len(pairs) < 60 * 4

@@ -188,7 +188,7 @@ def test_texts_that_share_an_identifier_are_separate_documents(spark):
 
 def test_documents_without_an_identifier_link_others(spark):
     words = [f"w{i}" for i in range(200)]
-    step = lambda n: " ".join(f"z{n}-{i}" if i < 14 * n else w for i, w in enumerate(words))
+    step = lambda n: " ".join(f"z{i}" if i < 14 * n else w for i, w in enumerate(words))
     lone = [(None, " ".join(f"q{i}" for i in range(50))), (None, " ".join([*(f"q{i}" for i in range(49)), "end"]))]
     found = NearDedup(spark.createDataFrame([(1, step(0)), (None, step(1)), (3, step(2)), *lone], "doc_id long, text string"))
     assert brute([(0, step(0)), (1, step(2))], 5)[1][1] == 1  # too far from each other

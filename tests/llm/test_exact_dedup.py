@@ -4,6 +4,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from tablewright.llm import exact_dedup
 from tablewright.llm.exact_dedup import ExactDedup, ingest_log, read_state, run_stream
 from tablewright.storage import Scratch
 
@@ -72,3 +73,27 @@ def test_state_lives_on_between_runs(spark):
 def test_empty(spark):
     found = ExactDedup(spark.createDataFrame([], DOCS))
     assert found.verdicts().count() == found.survivors().count() == 0
+
+
+def test_rows_without_identifier_are_compared_once(spark, tmp_path):
+    """One kept text per group: the byte check grows with the rows, not with their square."""
+    rows = [(None, "same text")] * 2000 + [(i, f"own {i}") for i in range(50)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "docs"))
+    found = ExactDedup(spark.read.parquet(str(tmp_path / "docs")))
+    compared = found._with_groups(found.log, found.hits.select("digest", "n_bytes", "keep_row"), "inner")
+    assert compared.count() == 2000
+    assert compared.select("digest", F.spark_partition_id()).distinct().count() >= 1
+    assert found.heavy.first()["tasks"] > 900
+    verdicts = found.verdicts().collect()
+    assert sum(r["kept"] for r in verdicts) == 51
+    assert {(r["keep_id"], r["group_size"]) for r in verdicts if r["doc_id"] is None} == {(None, 2000)}
+    assert found.survivors().count() == 51
+
+
+def test_locators_find_the_texts_again(spark, tmp_path):
+    spark.createDataFrame([(i, f"text {i % 7}") for i in range(40)], "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    found = ExactDedup(docs)
+    assert found.docs is docs
+    again = docs.select("doc_id", *exact_dedup.locator(docs)).join(found.hits, [F.col("file") == F.col("keep_file"), F.col("row_no") == F.col("keep_row")])
+    assert sorted((r["doc_id"], r["keep_id"]) for r in again.collect()) == [(i, i) for i in range(33, 40)]

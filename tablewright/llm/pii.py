@@ -1,15 +1,17 @@
 """Personal data with offsets, through disguises.
 
-Detection runs twice. The base rules read the source text. Then a transducer rewrites it:
-characters that look like ASCII letters or digits become those (one for one), spelled
-digits become digits, and ``[at]``, ``(dot)`` and the like become ``@`` and ``.``. It keeps,
-for every rewritten stretch, where it came from, so what the rules find in the normalised
-text is mapped back to source characters. A span is added where the transducer changed
-something inside it and no span of its kind is already there; base spans always stay.
+Detection runs twice. The base rules read the source text. Then a chain of transducers
+rewrites it, each reading what the one before it wrote: characters that look like ASCII
+become that and invisible ones go; ``[at]``, ``(dot)`` and the like become marks; spelled
+digits become digits; bare ``at`` and ``dot`` within an address become ``@`` and ``.``. Each keeps, for every
+stretch it rewrote, where it came from, so what the rules find in the end is mapped back
+through the chain to source characters. A span is added where something inside it was
+rewritten, unless it lies within a base span of its kind. Base spans always stay, beside a
+longer one that holds them as well.
 
 A disguise counts only in a telling place, so prose that merely says "at", "dot" or "one" is
 left alone: bracketed marks must stand between word characters, bare ``at`` and ``dot`` must
-spell a whole address, and spelled digits must come in runs of at least four.
+spell a whole address that ends in a common top domain, and spelled digits must come in runs of at least four.
 
 Offsets are code points, end exclusive. Scale: a map without shuffle; rules are written so
 that no text makes them backtrack over more than the match itself. Defined results: a null
@@ -20,6 +22,7 @@ empty one; other columns are ignored.
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
@@ -103,9 +106,10 @@ _LOOKALIKES = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
     "ı": "i", "ɑ": "a", "ɡ": "g", "ℓ": "l", "․": ".", "。": ".", "．": ".", "·": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", "﹫": "@", "\u00a0": " ", "\u2007": " ", "\u2009": " ", "\u202f": " ",
 }
-#: Full-width ASCII by rule; digits of other scripts by their place in a run of ten.
-LOOKALIKES = {ord(k): v for k, v in _LOOKALIKES.items()} | {0xFF01 + i: chr(0x21 + i) for i in range(94)} | {base + i: str(i) for base in (0x0660, 0x06F0, 0x0966, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6) for i in range(10)}
-_INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
+#: By rule: whatever Unicode's compatibility forms call one ASCII character (full-width, mathematical, circled), and decimal digits of all scripts.
+LOOKALIKES = {c: n for c in range(0x100, 0x20000) if len(n := unicodedata.normalize("NFKC", chr(c))) == 1 and "!" <= n <= "~"}
+LOOKALIKES |= {c: str(n) for c in range(0x100, 0x20000) if (n := unicodedata.decimal(chr(c), -1)) >= 0} | {ord(k): v for k, v in _LOOKALIKES.items()}
+_INVISIBLE = "\u200b\u200c\u200d\u200e\u200f\u2060\u2061\u2062\u2063\u2064\ufe0f\ufeff\u00ad"
 
 _UNUSUAL = re.compile("[" + "".join(re.escape(chr(c)) for c in LOOKALIKES) + _INVISIBLE + "]")
 _UNUSUAL_LATIN = [c for c in [*map(chr, LOOKALIKES), *_INVISIBLE] if ord(c) < 256]
@@ -118,13 +122,18 @@ SPELLED = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 _DIGIT = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
-_SPELLED_RUN = re.compile(rf"(?i)(?<!\w)(?:plus[ -])?(?:{_DIGIT}|[0-9])(?:(?:[ ,-]{{1,2}}|[ ]?(?:\.|dot|punkt|point|punto)[ ]?)(?:{_DIGIT}|[0-9])(?!\w))++")
-_SPELLED_PART = re.compile(rf"(?i)plus[ -]|{_DIGIT}|[ ]?(?:dot|punkt|point|punto)[ ]?|[ ,-]+|[0-9.]")
+_SPELLED_GAP = r"(?:[ ]?\(0\)[ ]?|[ ,-]{1,2}|[ ]?(?:\.|dot|punkt|point|punto)[ ]?)"
+_SPELLED_RUN = re.compile(rf"(?i)(?<!\w)(?:plus[ -])?(?:{_DIGIT}|[0-9]++)(?:{_SPELLED_GAP}(?:{_DIGIT}|[0-9]++)(?!\w))++")
+_SPELLED_PART = re.compile(rf"(?i)plus[ -]|{_DIGIT}|[ ]?(?:dot|punkt|point|punto)[ ]?|\(0\)|[ ,-]+|[0-9.]")
 _SPELLED_WORD = re.compile(rf"(?i)(?<![^\W\d_]){_DIGIT}(?![^\W\d_])")
 _HINT = re.compile(rf"(?i)(?<!\w){_DIGIT}[ ,.-]{{1,2}}(?:{_DIGIT}|dot|punkt|point|punto)(?!\w)")
 _MARK = re.compile(r"(?i)[ \t]*[\[({<][ \t]*(at|@|arroba|dot|punkt|punto|point|\.)[ \t]*[\])}>][ \t]*")
-_BARE = re.compile(r"(?i)(?<![\w.%+-])([A-Za-z0-9_%+-]+(?: dot [A-Za-z0-9_%+-]+){0,3}) (?:at|arroba) ([A-Za-z0-9-]+(?: dot [A-Za-z0-9-]+){1,4})(?![\w-])")
-_BARE_AT, _BARE_DOT = re.compile(r"(?i) (?:at|arroba) "), re.compile(r"(?i) dot ")
+#: What bracketed marks become until all is rewritten: two characters that are free for private use.
+_DOT, _AT = "\ue000", "\ue001"
+_GAP = rf"(?:[ ]dot[ ]|{_DOT}|\.)"
+_BARE = re.compile(rf"(?i)(?<![\w.%+-])([A-Za-z0-9_%+-]++(?:{_GAP}[A-Za-z0-9_%+-]++){{0,3}})([ ](?:at|arroba)[ ]|@|{_AT})([A-Za-z0-9-]++(?:{_GAP}[A-Za-z0-9-]++){{1,4}})(?![\w-])")
+_BARE_DOT = re.compile(r"(?i) dot ")
+_LAST_GAP = re.compile(rf"(?i).*{_GAP}")
 _TOP = frozenset("com org net edu gov io info biz de fr es uk eu co me us app dev example".split())  # fixed values: top domains that a bare disguise may end in
 
 
@@ -176,6 +185,8 @@ def _spelled_edits(text: str) -> Iterator[tuple[int, int, str]]:
             word = part.group().lower()
             if word in SPELLED:
                 yield part.start(), part.end(), SPELLED[word]
+            elif word == "(0)":
+                continue
             elif word.startswith("plus"):
                 yield part.start(), part.end(), "+"
             elif word.strip() in ("dot", "punkt", "point", "punto"):
@@ -188,15 +199,29 @@ def _mark_edits(text: str) -> Iterator[tuple[int, int, str]]:
     for found in _MARK.finditer(text):
         before, after = text[found.start() - 1 : found.start()], text[found.end() : found.end() + 1]
         if before.isalnum() and after.isalnum():
-            yield found.start(), found.end(), "@" if found.group(1).lower() in ("at", "@", "arroba") else "."
+            yield found.start(), found.end(), _AT if found.group(1).lower() in ("at", "@", "arroba") else _DOT
 
 
 def _bare_edits(text: str) -> Iterator[tuple[int, int, str]]:
     for found in _BARE.finditer(text):
-        if found.group(2).lower().rsplit(" ", 1)[-1] in _TOP:
-            for pattern, new in ((_BARE_DOT, "."), (_BARE_AT, "@")):
-                for part in pattern.finditer(text, found.start(), found.end()):
-                    yield part.start(), part.end(), new
+        local, at, domain = found.groups()
+        if _LAST_GAP.sub("", domain).lower() not in _TOP:
+            continue
+        # "look at example.com" is prose: a bare word needs a disguised dot beside it.
+        bare = at not in ("@", _AT)
+        if bare and not (_DOT in domain or _BARE_DOT.search(domain)):
+            continue
+        if at != "@":
+            yield from ((m.start(), m.end(), ".") for m in _BARE_DOT.finditer(text, found.start(1), found.end(1)))
+        if bare:
+            yield found.start(2), found.end(2), "@"
+        yield from ((m.start(), m.end(), ".") for m in _BARE_DOT.finditer(text, found.start(3), found.end(3)))
+
+
+def _plain_edits(text: str) -> Iterator[tuple[int, int, str]]:
+    if _unusual(text):
+        for found in _UNUSUAL.finditer(text):
+            yield found.start(), found.end(), "" if found.group() in _INVISIBLE else LOOKALIKES[ord(found.group())]
 
 
 def _unusual(text: str) -> bool:
@@ -210,26 +235,33 @@ def _unusual(text: str) -> bool:
     return any(c in text for c in _UNUSUAL_LATIN)
 
 
-def normalise(text: str) -> Edits | None:
-    """The text without disguises, or None if it has none."""
-    plain, edits = text, []
-    if _unusual(text):
-        plain = text.translate(LOOKALIKES)
-        edits += [(i, i + 1, b) for i, (a, b) in enumerate(zip(text, plain, strict=True)) if a != b]
-        edits += [(i, i + 1, "") for i, c in enumerate(text) if c in _INVISIBLE]
-    edits += _spelled_edits(plain)
-    if "[" in plain or "(" in plain or "{" in plain or "<" in plain:
-        edits += _mark_edits(plain)
-    if " dot " in plain or " DOT " in plain or " Dot " in plain:
-        edits += _bare_edits(plain)
-    if not edits:
-        return None
-    kept, end = [], 0
-    for edit in sorted(edits, key=lambda e: (e[0], e[0] - e[1])):
-        if edit[0] >= end:
-            kept.append(edit)
-            end = edit[1]
-    return Edits(text, kept)
+#: The transducers in their order, each with a cheap test of whether it can have anything to do.
+_STEPS: tuple[tuple[Callable[[str], bool], Callable[[str], Iterator[tuple[int, int, str]]]], ...] = (
+    (lambda t: not t.isascii(), _plain_edits),
+    (lambda t: "[" in t or "(" in t or "{" in t or "<" in t, _mark_edits),
+    (lambda t: True, _spelled_edits),
+    (lambda t: _DOT in t or " dot " in t or " DOT " in t or " Dot " in t, _bare_edits),
+)
+
+
+class Chain:
+    """What the transducers made of a text, and the way back through all of them."""
+
+    def __init__(self, text: str) -> None:
+        self.steps: list[Edits] = []
+        for can, edits in _STEPS:
+            if can(text) and (found := sorted(edits(text))):
+                self.steps.append(Edits(text, found))
+                text = self.steps[-1].text
+        self.text = text.replace(_DOT, ".").replace(_AT, "@") if self.steps else text
+
+    def back(self, start: int, end: int) -> tuple[Span, bool]:
+        """The source span of a span of the result, and whether a rewritten stretch is in it."""
+        changed = False
+        for step in reversed(self.steps):
+            (start, end), rewritten = step.back(start, end)
+            changed = changed or rewritten
+        return (start, end), changed
 
 
 def find(text: str | None) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
@@ -237,12 +269,17 @@ def find(text: str | None) -> tuple[dict[str, list[Span]], dict[str, list[Span]]
     text = text or ""
     base = {kind: list(finder(text)) for kind, finder in FINDERS.items()}
     found = {kind: list(spans) for kind, spans in base.items()}
-    if edits := normalise(text):
+    chain = Chain(text)
+    if chain.steps:
         for kind, finder in FINDERS.items():
-            for start, end in finder(edits.text):
-                span, changed = edits.back(start, end)
-                if changed and not any(s < span[1] and span[0] < e for s, e in found[kind]):
-                    found[kind].append(span)
+            known = base[kind]
+            starts = [s for s, _ in known]
+            for start, end in finder(chain.text):
+                (s, e), changed = chain.back(start, end)
+                # Base spans do not overlap, so only the last that begins no later can hold this one.
+                before = bisect_right(starts, s) - 1
+                if changed and not (before >= 0 and e <= known[before][1]):
+                    found[kind].append((s, e))
             found[kind].sort()
     return base, found
 
@@ -282,7 +319,8 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def _redacted(text: str) -> str:
     _, found = find(text)
-    spans = sorted((s, e, kind) for kind, each in found.items() for s, e in each)
+    # Of spans that begin together the longest comes first; what begins inside another only lengthens it.
+    spans = sorted(((s, e, kind) for kind, each in found.items() for s, e in each), key=lambda x: (x[0], -x[1]))
     out, at = [], 0
     for start, end, kind in spans:
         if start >= at:

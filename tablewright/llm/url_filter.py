@@ -11,15 +11,18 @@ one of the corpus keys that pass level 1 wrongly, level 3 one of the listed keys
 level 2, and so on until no key is left. Over the key universe for which it was built, the
 first level that a key fails tells exactly whether it is listed; judging joins nothing.
 
-Scale: the universe is never stored; a scan leaves only the keys that pass level 1. The
-filters are sized by counts of listed keys and of those false positives. A filter above
-``max_filter_bytes`` is split by key hash into shards, each judged in a pass of its own, so
-what is broadcast stays below that limit whatever the length of the list.
+Scale: the universe is never stored; a scan leaves only the keys that pass level 1. Every
+level is sized by the count of its own keys, listed ones or false positives. Where one would
+exceed ``max_filter_bytes``, all are built anew in more shards by key hash, each judged in a pass
+of its own, so what is broadcast stays below that limit whatever the length of the list and
+of the corpus. Set bits come to the driver as blobs of 64 KiB, no more than the filter itself.
 
 Defined results: a url that is null or has no ``://`` has an empty host and path and no
-rule; two fitting rules of equal length prefer the longer host; a url without a rule gets
-``allow``, since no list holds it; an empty table gives an empty result; other columns of
-the input are ignored.
+rule; of a very long host only as many labels count as the longest rule has; two fitting rules of
+equal length prefer the longer host; a key listed with several actions has the one that is
+last in alphabetical order, so ``block`` before ``allow``; a rule without host or action fits
+nothing; a url without a rule gets ``allow``, since no list holds it; an empty table gives an
+empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +40,8 @@ from tablewright.storage import Scratch
 
 PROBES = 5
 BITS_PER_KEY = 10
+#: Bytes of a filter that are put together by one task and fetched as one row.
+BLOB = 1 << 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -55,11 +61,13 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def candidate_keys(host: Column, path: Column, path_lengths: Sequence[int]) -> Column:
-    """Every (key, host length) that a rule for this url could have."""
-    labels = F.split(host, r"\.")
+def candidate_keys(host: Column, path: Column, path_lengths: Sequence[int], most_labels: int) -> Column:
+    """Every (key, host length) that a rule of at most ``most_labels`` labels for this url could have."""
+    # Only the end of the host is cut into labels: one before it tells whether the first of them is whole.
+    ending = F.substring_index(host, ".", -(most_labels + 1))
+    labels = F.split(ending, r"\.")
     n = F.size(labels)
-    suffixes = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n - i + 1), "."))
+    suffixes = F.transform(F.sequence(F.greatest(F.lit(1), n - most_labels + 1), n), lambda i: F.array_join(F.slice(labels, i, n - i + 1), "."))
     lengths = F.filter(F.array(*[F.lit(x) for x in sorted(set(path_lengths))]), lambda x: x <= F.length(path))
     each = F.transform(suffixes, lambda s: F.transform(lengths, lambda x: F.struct(F.concat(s, F.substring(path, F.lit(1), x)).alias("key"), F.length(s).alias("host_length"))))
     return F.when(host == "", F.array().cast("array<struct<key:string,host_length:int>>")).otherwise(F.flatten(each))
@@ -114,10 +122,21 @@ def _build_level(keys: DataFrame, number: int, n_keys: int) -> Level:
             at = positions(x["a"].to_numpy(), x["b"].to_numpy(), number, n_bits).ravel()
             yield pd.DataFrame({"byte": at >> 3, "mask": (1 << (at & 7)).astype(np.int32)})
 
-    filled = keys.mapInPandas(bits, "byte long, mask int").groupBy("byte").agg(F.bit_or("mask").alias("mask")).toPandas()
-    out = np.zeros(n_bits // 8, dtype=np.uint8)
-    out[filled["byte"].to_numpy()] = filled["mask"].to_numpy().astype(np.uint8)
-    return Level(number, n_bits, out)
+    def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for x in batches:
+            byte, mask = (np.asarray(x.column(i)) for i in range(2))
+            for n in np.unique(byte // BLOB):
+                mine = byte // BLOB == n
+                held.setdefault(int(n), np.zeros(BLOB, dtype=np.uint8))[byte[mine] % BLOB] = mask[mine]
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array([b.tobytes() for b in held.values()], pa.binary())], names=["n", "blob"])
+
+    filled = keys.mapInPandas(bits, "byte long, mask int").groupBy("byte").agg(F.bit_or("mask").alias("mask"))
+    whole = filled.repartition(-(-n_bits // (8 * BLOB)), F.floor(F.col("byte") / BLOB)).mapInArrow(blobs, "n long, blob binary")
+    out = np.zeros(-(-n_bits // (8 * BLOB)) * BLOB, dtype=np.uint8)
+    for r in whole.collect():
+        out[r["n"] * BLOB : (r["n"] + 1) * BLOB] = np.frombuffer(r["blob"], dtype=np.uint8)
+    return Level(number, n_bits, out[: n_bits // 8])
 
 
 def _passing(keys: DataFrame, level: Level) -> DataFrame:
@@ -130,7 +149,21 @@ def _passing(keys: DataFrame, level: Level) -> DataFrame:
     return keys.filter(passes("a", "b"))
 
 
-def build_cascade(members: DataFrame, universe: DataFrame, scratch: Scratch, name: str) -> list[Level]:
+class TooLarge(Exception):
+    """A level would need this many times the bytes that a filter may have."""
+
+    def __init__(self, times: int) -> None:
+        super().__init__(times)
+        self.times = times
+
+
+def _checked(n: int, max_bytes: int) -> int:
+    if (times := -(-n * BITS_PER_KEY // 8 // max_bytes)) > 1:
+        raise TooLarge(times)
+    return n
+
+
+def build_cascade(members: DataFrame, universe: DataFrame, scratch: Scratch, name: str, max_bytes: int = 32 << 20) -> list[Level]:
     """The levels for ``members`` among ``universe``; both have the key hashes a and b.
 
     False positives are found by an anti join of the few keys that pass level 1, so the universe itself is not joined.
@@ -139,11 +172,11 @@ def build_cascade(members: DataFrame, universe: DataFrame, scratch: Scratch, nam
     n = members.count()
     if not n:
         return []
-    levels = [_build_level(members, 1, n)]
+    levels = [_build_level(members, 1, _checked(n, max_bytes))]
     wrong = _passing(universe.select("a", "b"), levels[0]).distinct().join(members, ["a", "b"], "left_anti")
     inside, outside = members, scratch.table(wrong, f"{name}-1")
     while n := outside.count():
-        levels.append(_build_level(outside, len(levels) + 1, n))
+        levels.append(_build_level(outside, len(levels) + 1, _checked(n, max_bytes)))
         still = scratch.table(_passing(inside, levels[-1]), f"{name}-{len(levels)}")
         inside, outside = outside, still
     return levels
@@ -155,20 +188,28 @@ class UrlFilter:
     def __init__(self, spark: SparkSession, rules: DataFrame, urls: DataFrame, url_col: str = "url", default: str = "allow", max_filter_bytes: int = 32 << 20) -> None:
         """rules: action, host, path."""
         self.spark, self.default, self.scratch = spark, default, Scratch(spark, "url-filter")
+        rules = rules.filter("action is not null and host is not null")
         rules = self.scratch.table(rules.select("action", F.translate("host", _UPPER, _LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path")), "rules")
         self.path_lengths = sorted(x[0] for x in rules.select(F.length("path")).distinct().collect())
-        sizes = {x["action"]: x["n"] for x in rules.groupBy("action").agg(F.count(F.lit(1)).alias("n")).collect()}
+        sizes = {x["action"]: (x["n"], x["labels"]) for x in rules.groupBy("action").agg(F.count(F.lit(1)).alias("n"), F.max(F.size(F.split("host", r"\."))).alias("labels")).collect()}
         self.actions = sorted(sizes)
-        self.shards = max(1, -(-max(sizes.values(), default=0) * BITS_PER_KEY // 8 // max_filter_bytes))
+        self.most_labels = max((labels for _, labels in sizes.values()), default=1)
+        self.shards = max(1, -(-max((n for n, _ in sizes.values()), default=0) * BITS_PER_KEY // 8 // max_filter_bytes))
         keyed = rules.withColumn("h", key_hashes(F.concat("host", "path"))).select("action", "h.*")
         universe = self._with_keys(urls, url_col).select(F.explode("keys.h").alias("h")).select("h.*")
-        part = F.pmod(F.col("b"), F.lit(self.shards))
-        self.cascades = {(a, s): build_cascade(keyed.filter((F.col("action") == a) & (part == s)), universe.filter(part == s), self.scratch, f"{a}-{s}") for a in self.actions for s in range(self.shards)}
+        while True:
+            part = F.pmod(F.col("b"), F.lit(self.shards))
+            try:
+                self.cascades = {(a, s): build_cascade(keyed.filter((F.col("action") == a) & (part == s)), universe.filter(part == s), self.scratch, f"{a}-{s}", max_filter_bytes) for a in self.actions for s in range(self.shards)}
+                break
+            except TooLarge as found:
+                # A tenth more, as shards are not quite equal.
+                self.shards = self.shards * found.times * 11 // 10 + 1
 
     def _with_keys(self, urls: DataFrame, url_col: str, keep: Sequence[str] = ()) -> DataFrame:
         host, path = url_parts(urls[url_col])
         rows = urls.select(*keep, host.alias("host"), path.alias("path"))
-        keys = candidate_keys(F.col("host"), F.col("path"), self.path_lengths or [0])
+        keys = candidate_keys(F.col("host"), F.col("path"), self.path_lengths or [0], self.most_labels)
         return rows.withColumn("keys", F.transform(keys, lambda k: F.struct(k["key"].alias("key"), k["host_length"].alias("host_length"), key_hashes(k["key"]).alias("h"))))
 
     def _marks(self, rows: DataFrame, action: str, shard: int) -> Column:

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -67,3 +68,27 @@ def test_empty_tables(spark):
     assert got == {}
     _, got = judged(spark, URLS[:3], [])
     assert {v[2:] for v in got.values()} == {(None, "allow")}
+
+
+def test_very_long_urls(spark):
+    urls = ["http://" + "a." * 16_000 + "example.com/en/" + "x" * 50_000, "http://" + "." * 20_000 + "com/", "http://" + "b" * 100_000 + ".net/es/"]
+    began = time.monotonic()
+    _, got = judged(spark, urls, OP9_RULES)
+    assert got == {i: brute(u, OP9_RULES) for i, u in enumerate(urls)}
+    assert time.monotonic() - began < 60
+
+
+def test_rules_that_are_incomplete_or_listed_twice(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/x"), (2, "http://b.com/x")], "page_id long, url string")
+    rules = spark.createDataFrame([("allow", "a.com", "/"), ("block", "a.com", "/"), (None, "b.com", "/"), ("block", None, "/x"), ("block", "b.com", None)], "action string, host string, path string")
+    assert {r["page_id"]: (r["rule"], r["verdict"]) for r in UrlFilter(spark, rules, pages).judge(pages).collect()} == {1: ("a.com/", "block"), 2: ("b.com", "block")}
+
+
+def test_levels_of_false_positives_are_sharded_too(spark):
+    """Few listed keys, very many others: the second level alone is over the limit."""
+    urls = [f"http://h{i}.com/" for i in range(20_000)]
+    rules = [Rule("block", f"h{i}.com", "/") for i in range(0, 400, 4)]
+    found, got = judged(spark, urls, rules, max_filter_bytes=130)
+    assert found.shards > 1
+    assert max(len(level.bits) for levels in found.cascades.values() for level in levels) <= 130
+    assert got == {i: brute(u, rules) for i, u in enumerate(urls)}

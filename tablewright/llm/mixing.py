@@ -11,11 +11,12 @@ epochs before the cut.
 Scale: one scan of the texts makes slim rows, which are written once; they are shuffled
 once by source and bucket and sorted there. The number of buckets follows the number of
 rows, so a source with a third of all rows meets in as many tasks as there are buckets; it
-has a bound, so that the sums of one source's buckets fit one task. The table of sources
+has a bound of 2^22, so that the sums of one source's buckets fit one task, some 160 MB. Buckets
+hold more than 4000 rows only beyond 1.6 x 10^10 rows in all. The table of sources
 meets in one task as well: it has one row per source, like the weights given for it.
 
 Defined results: a null text has size 0; a null source is a source of its own, ordered
-last; rows that are equal in identifier and text share their key and are interchangeable;
+last; rows that are equal in identifier, text and source are interchangeable;
 empty sources and tables have budget 0; other columns are passed by, whatever their names.
 Only DataFrame operations are used.
 """
@@ -40,7 +41,7 @@ class MixPlan:
     share: float = 1.5
     max_epochs: float = 2.0
     rows_per_bucket: int = 4_000
-    most_buckets: int = 1 << 16
+    most_buckets: int = 1 << 22
 
 
 def word_count(text: Column) -> Column:
@@ -102,12 +103,32 @@ def mix(docs: DataFrame, plan: MixPlan | None = None, id_col: str = "doc_id", te
 def apply_mix(docs: DataFrame, plan: MixPlan | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: the columns of ``docs``, and per copy ``mix_epoch`` and ``mix_words``, the words to take of it.
 
-    Rows that are equal in identifier and text share evenly, in whole words, what the mix takes of them.
+    Columns of these two names in ``docs`` are replaced. Rows that are equal in identifier, text and source share evenly,
+    to the word, what the mix takes of them; which of them has the odd words is not fixed.
     """
-    each = F.floor(F.sum("taken") / F.count(F.lit(1)))
-    taken = mix(docs, plan, id_col, text_col, source_col).groupBy("mix_key").agg(F.max("size").alias("size"), each.alias("taken")).filter("taken > 0")
+    scratch = Scratch(docs.sparkSession, "apply-mix")
+    taken = mix(docs, plan, id_col, text_col, source_col).groupBy("source", "mix_key").agg(F.max("size").alias("size"), F.sum("taken").alias("total"), F.count(F.lit(1)).alias("copies"))
+    taken = scratch.table(taken.filter("total > 0").withColumnRenamed("source", "of"), "taken")
     own = [c for c in docs.columns if c not in ("mix_epoch", "mix_words")]
-    rows = docs.select(F.struct(*own).alias("row"), mix_key(docs[id_col], docs[text_col]).alias("mix_key")).join(taken, "mix_key")
+    rows = docs.select(F.struct(*own).alias("row"), docs[source_col].cast("string").alias("source"), mix_key(docs[id_col], docs[text_col]).alias("mix_key"), F.spark_partition_id().alias("part"))
+    rows = rows.join(taken, ["mix_key"]).filter(F.col("source").eqNullSafe(F.col("of")))
+    share = F.floor(F.col("total") / F.col("copies"))
+    if not taken.filter("copies > 1").isEmpty():
+        # Equal rows are counted off by the partition that they came from, so that very many of them need not meet.
+        many = scratch.table(rows.filter("copies > 1"), "repeated")
+        key = ["of", "mix_key"]
+        counts = many.groupBy(*key, "part").agg(F.count(F.lit(1)).alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        counts = scratch.table(counts.withColumn("before", before).withColumnsRenamed({"of": "of_2", "mix_key": "key_2", "part": "part_2"}), "counts")
+        place = F.row_number().over(Window.partitionBy(*key, "part").orderBy(F.monotonically_increasing_id())) - 1
+        same = F.col("of").eqNullSafe(F.col("of_2")) & (F.col("mix_key") == F.col("key_2")) & (F.col("part") == F.col("part_2"))
+        many = many.withColumn("place", place).join(counts, same)
+        odd = F.col("total") - share * F.col("copies")
+        many = many.withColumn("taken", share + (F.col("place") + F.col("before") < odd).cast("long"))
+        rows = rows.filter("copies = 1").withColumn("taken", share).select("row", "size", "taken").union(many.select("row", "size", "taken"))
+    else:
+        rows = rows.withColumn("taken", share)
+    rows = rows.filter("taken > 0")
     epochs = F.floor((F.col("taken") - 1) / F.col("size"))
     copies = rows.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), epochs)))
     words = F.least(F.col("size"), F.col("taken") - F.col("mix_epoch") * F.col("size"))

@@ -80,3 +80,26 @@ def test_nothing_to_take(spark):
 def test_words_are_split_at_ascii_space_only(spark):
     found = mix(spark.createDataFrame([doc(1, 0, "a", " a b\tc\x0bd\x1fe \r\n")], DOCS)).first()
     assert found["size"] == 3
+
+
+def test_equal_documents_of_two_sources_keep_their_targets(spark):
+    rows = [(1, "a b c d e f g h i j", "s1", "", "", "")] * 3 + [(1, "a b c d e f g h i j", "s2", "", "", "")] * 2 + [(1, "a b c d e f g h i j", None, "", "", "")]
+    found = apply_mix(spark.createDataFrame(rows, DOCS).repartition(4)).collect()
+    got = {}
+    for r in found:
+        got[r["source"]] = got.get(r["source"], 0) + r["mix_words"]
+    wanted = targets({"s1": 30, "s2": 20, None: 10}, MixPlan())
+    assert got == {s: pytest.approx(t, abs=0.51) for s, t in wanted.items()}
+
+
+def test_many_equal_rows_share_to_the_word(spark):
+    rows = [(None, "a b c", "s1", "", "", "")] * 501 + [doc(i, 5, "s2") for i in range(40)]
+    found = apply_mix(spark.createDataFrame(rows, DOCS).repartition(5), MixPlan(weights=(1.0, 1.0), share=0.6)).collect()
+    taken = [r["mix_words"] for r in found if r["source"] == "s1"]
+    assert sum(taken) == round(targets({"s1": 1503, "s2": 200}, MixPlan(weights=(1.0, 1.0), share=0.6))["s1"])
+    assert len(taken) == 501 and max(taken) - min(taken) <= 1
+
+
+def test_columns_of_the_result_are_replaced(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", 7, 8)], "doc_id long, text string, source string, mix_epoch long, mix_words long")
+    assert [tuple(r) for r in apply_mix(docs).collect()] == [(1, "a b", "s", 0, 2), (1, "a b", "s", 1, 1)]

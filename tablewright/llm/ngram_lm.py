@@ -5,7 +5,9 @@ Counting runs in Spark in three passes that each end in sorted arrays on shared
 1. words: hashes of all training words with their counts. A word's place in the sorted
    array is its id.
 2. pairs: an id pair is packed into 64 bits and scrambled by a bijection, which serves as its
-   hash and can be undone. Keys are sorted, with counts beside them.
+   hash and can be undone. Keys are sorted, with counts beside them, in 32 bits where all of a
+   bucket fit, else in 64. With 2^32 words or more a pair does not fit; its key is then a
+   64-bit hash, and both ids travel beside it while pairs are counted.
 3. contexts: for each word the number of tokens and of kinds of pairs it begins, and the
    number of kinds it ends.
 
@@ -16,7 +18,10 @@ texts is one entry per block. Hashes spread evenly, so no bucket is hot. The dri
 small row per bucket.
 
 Scoring maps whole texts without shuffle. Workers map the arrays into memory and look up
-sorted batches, so a model larger than memory is paged in where it is needed.
+sorted batches, so a model larger than memory is paged in where it is needed. A worker keeps
+a bounded number of arrays mapped and lets go of the one it used least recently. From a store
+that cannot be mapped it reads an array into memory and keeps a bounded number of bytes;
+nothing is written to local disk.
 
 p(w | u) is the discounted share of w among what follows u, plus u's left-over mass times
 the share of w among kinds of pairs that end in it, discounted likewise, plus the rest
@@ -35,8 +40,8 @@ that of the unknown word; an empty table gives an empty result; other columns do
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from urllib.parse import urlparse
@@ -49,7 +54,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.storage import Scratch
+from tablewright.storage import Scratch, hadoop_path
 from tablewright.llm.words import WordHashes, as_bytes, lowered_words, map_batches, mixed, slices
 
 FOLDS, HELD_OUT_FOLD = 7, 2
@@ -59,6 +64,12 @@ START, END = (xxhash.xxh3_64_intdigest(mark) for mark in (b" start", b" end"))
 GATHER = 1 << 21
 #: Tokens per bucket that a task merges.
 TOKENS_PER_BUCKET = 4_000_000
+#: Words below which the ids of a pair fit into 64 bits.
+NARROW = 1 << 32
+#: The largest count that a file of 32-bit counts holds.
+LARGEST = (1 << 31) - 1
+#: Arrays that a worker keeps mapped, and bytes of arrays that it keeps read.
+MAPPED, READ_BYTES = 256, 256 << 20
 _MASK = (1 << 64) - 1
 
 
@@ -69,9 +80,16 @@ def held_out(doc_id: Column) -> Column:
 # ---- arrays on shared storage
 
 
+def located(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI as Hadoop writes it, and the path in it."""
+    for name in ("s3a://", "s3n://"):
+        path = "s3://" + path.removeprefix(name) if path.startswith(name) else path
+    return fs.FileSystem.from_uri(path)
+
+
 def write_array(path: str, values: np.ndarray) -> None:
     """Writes to a temporary name first: a reader sees the whole file or none."""
-    system, where = fs.FileSystem.from_uri(path)
+    system, where = located(path)
     system.create_dir(os.path.dirname(where), recursive=True)
     part = f"{where}.{uuid.uuid4().hex}"
     with system.open_output_stream(part) as out:
@@ -80,16 +98,13 @@ def write_array(path: str, values: np.ndarray) -> None:
 
 
 def map_array(path: str, kind: str) -> np.ndarray:
-    """The array, mapped into memory; from a store that cannot be mapped, by way of an unlinked local file."""
+    """The array, mapped into memory; from a store that cannot be mapped, read into it."""
     if urlparse(path).scheme in ("", "file"):
         where = urlparse(path).path
         return np.memmap(where, dtype=kind, mode="r") if os.path.getsize(where) else np.empty(0, dtype=kind)
-    system, where = fs.FileSystem.from_uri(path)
-    with tempfile.TemporaryFile() as held, system.open_input_stream(where) as source:
-        while block := source.read(1 << 22):
-            held.write(block)
-        held.flush()
-        return np.memmap(held, dtype=kind, mode="r") if held.tell() else np.empty(0, dtype=kind)
+    system, where = located(path)
+    with system.open_input_stream(where) as source:
+        return np.frombuffer(source.read(), dtype=kind)
 
 
 # ---- blocks of sorted keys and sums, as they are shuffled
@@ -110,14 +125,15 @@ def unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     return keys, plane(16 + 8 * n, m).view("<i8").reshape(n, -1)
 
 
-def summed(keys: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct sorted keys with the sums of their rows."""
+def summed(keys: np.ndarray, sums: np.ndarray, beside: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sorted keys with the sums of their rows; the last ``beside`` columns are the same in all rows of a key and stay."""
     if not len(keys):
         return keys, sums
     order = np.argsort(keys, kind="stable")
     keys, sums = keys[order], sums[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(sums, first, axis=0)
+    n = sums.shape[1] - beside
+    return keys[first], np.column_stack([np.add.reduceat(sums[:, :n], first, axis=0), sums[first, n:]])
 
 
 def bucket_of(keys: np.ndarray, n_buckets: int) -> np.ndarray:
@@ -133,14 +149,14 @@ def blocks(keys: np.ndarray, sums: np.ndarray, buckets: np.ndarray) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array([int(buckets[a]) for a in starts], pa.int64()), pa.array(rows, pa.binary())], names=["bucket", "block"])
 
 
-def merge(rows: DataFrame, n_buckets: int, finish: Callable[[int, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def merge(rows: DataFrame, n_buckets: int, finish: Callable[[int, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]], schema: str, beside: int = 0) -> DataFrame:
     """Brings the blocks of each bucket together and hands its keys and sums to ``finish``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, keys, sums, waiting = None, [], [], 0
 
         def joined() -> tuple[np.ndarray, np.ndarray]:
-            return summed(np.concatenate(keys), np.concatenate(sums))
+            return summed(np.concatenate(keys), np.concatenate(sums), beside)
 
         for batch in slices(batches, 64):
             for b, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -177,6 +193,7 @@ class Model:
     word_discounts: tuple[float, ...]
     n_kinds: int
     word_rest: float
+    wide: bool = False
 
 
 def discounts(n: list[int]) -> tuple[float, ...]:
@@ -190,18 +207,34 @@ def discounts(n: list[int]) -> tuple[float, ...]:
 
 
 class Arrays:
-    """The mapped arrays of a model, bucket by bucket."""
+    """The mapped arrays of a model, bucket by bucket; those used last stay mapped."""
 
-    KINDS = {"words": "<u8", "counts": "<i8", "pairs": "<u8", "pair-counts": "<i4", "followers": "<i8", "kinds": "<i4"}
+    KINDS = {"words": "<u8", "counts": "<i8", "pairs": "<u8", "pair-counts": "<i4", "followers": "<i8", "kinds": "<i8"}
 
-    def __init__(self, path: str, n_buckets: int, starts: np.ndarray) -> None:
+    def __init__(self, path: str, n_buckets: int, starts: np.ndarray, mapped: int = MAPPED, read_bytes: int = READ_BYTES) -> None:
         self.path, self.n_buckets, self.starts = path, n_buckets, starts
-        self.open: dict[tuple[str, int], np.ndarray] = {}
+        self.mapped, self.read_bytes, self.held = mapped, read_bytes, 0
+        self.open: OrderedDict[tuple[str, int], np.ndarray] = OrderedDict()
 
     def get(self, name: str, bucket: int) -> np.ndarray:
-        if (name, bucket) not in self.open:
-            self.open[name, bucket] = map_array(f"{self.path}/{name}/{bucket}", self.KINDS[name])
-        return self.open[name, bucket]
+        key = (name, bucket)
+        if key in self.open:
+            self.open.move_to_end(key)
+            return self.open[key]
+        found = map_array(f"{self.path}/{name}/{bucket}", "<u1" if name == "pair-counts" else self.KINDS[name])
+        if name == "pair-counts":
+            # Counts have the width that the largest of the bucket needs.
+            n = len(self.get("pairs", bucket))
+            found = found.view("<i8" if n and len(found) == 8 * n else "<i4")
+        self.open[key] = found
+        self.held += self._read(found)
+        while len(self.open) > self.mapped or (self.held > self.read_bytes and len(self.open) > 1):
+            self.held -= self._read(self.open.popitem(last=False)[1])
+        return found
+
+    @staticmethod
+    def _read(array: np.ndarray) -> int:
+        return 0 if isinstance(array, np.memmap) else array.nbytes
 
     def word_ids(self, words: np.ndarray) -> np.ndarray:
         """Ids of sorted word hashes; -1 for those that are unknown."""
@@ -221,7 +254,7 @@ class Arrays:
 
     def by_id(self, name: str, ids: np.ndarray) -> np.ndarray:
         """Rows of a per-word array for sorted ids."""
-        wide = 4 if name == "kinds" else 2 if name == "followers" else 1
+        wide = 3 if name == "kinds" else 2 if name == "followers" else 1
         out = np.zeros((len(ids), wide), dtype=np.int64)
         buckets = np.searchsorted(self.starts, ids, side="right") - 1
         cuts = [0, *(np.flatnonzero(np.diff(buckets)) + 1), len(ids)] if len(ids) else []
@@ -242,8 +275,10 @@ class Arrays:
         return counts
 
 
-def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return mixed(first.astype(np.uint64) << np.uint64(32) | second.astype(np.uint64))
+def pair_keys(first: np.ndarray, second: np.ndarray, wide: bool = False) -> np.ndarray:
+    """Keys of pairs of ids: a bijection below 2^32 ids, else a hash."""
+    first, second = first.astype(np.uint64), second.astype(np.uint64)
+    return mixed(mixed(first + np.uint64(1)) + second) if wide else mixed(first << np.uint64(32) | second)
 
 
 def _unmixed(x: np.ndarray) -> np.ndarray:
@@ -290,7 +325,9 @@ def train(texts: DataFrame, text_col: str = "text") -> Model:
     """Counts the texts of a table into a model on shared storage."""
     spark = texts.sparkSession
     scratch = Scratch(spark, "ngram-lm")
-    path = scratch.at("model")
+    # With its scheme: workers do not know Spark's default file system.
+    system, where = hadoop_path(spark, scratch.at("model"))
+    path = system.makeQualified(where).toString()
     rows = texts.select(texts[text_col].cast("string").alias("text"))
     # A first guess of the number of tokens from the bytes, for the number of buckets.
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -316,23 +353,26 @@ def train(texts: DataFrame, text_col: str = "text") -> Model:
         sizes[r["bucket"]] = r["n"]
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     n_words, n_tokens = sum(r["known"] for r in stats), sum(r["tokens"] for r in stats)
-    if sizes.sum() >= 1 << 32:
-        raise ValueError("more than 2^32 different words: their pairs do not fit 64 bits")
+    wide = bool(sizes.sum() >= NARROW)
 
     def pairs(batches):
         arrays = Arrays(path, n_buckets, starts)
         for tokens, ends in _gathered(batches):
             kinds, place = np.unique(np.append(tokens, np.uint64(START)), return_inverse=True)
             ids = arrays.word_ids(kinds)[place]
-            keys, n = np.unique(pair_keys(_before(ids[:-1], ends, ids[-1]), ids[:-1]), return_counts=True)
-            yield blocks(keys, n[:, None], bucket_of(keys, n_buckets))
+            first, second = _before(ids[:-1], ends, ids[-1]), ids[:-1]
+            keys, at, n = np.unique(pair_keys(first, second, wide), return_index=True, return_counts=True)
+            yield blocks(keys, np.column_stack([n, first[at], second[at]] if wide else [n]), bucket_of(keys, n_buckets))
 
     def keep_pairs(bucket, keys, sums):
         n = sums[:, 0]
         write_array(f"{path}/pairs/{bucket}", keys.astype("<u8"))
-        write_array(f"{path}/pair-counts/{bucket}", np.minimum(n, 2**31 - 1).astype("<i4"))
-        both = _unmixed(keys)
-        first, second = both >> np.uint64(32), both & np.uint64(2**32 - 1)
+        write_array(f"{path}/pair-counts/{bucket}", n.astype("<i8" if len(n) and n.max() > LARGEST else "<i4"))
+        if wide:
+            first, second = sums[:, 1].astype(np.uint64), sums[:, 2].astype(np.uint64)
+        else:
+            both = _unmixed(keys)
+            first, second = both >> np.uint64(32), both & np.uint64(2**32 - 1)
         # Per word: tokens and kinds (seen once, twice, more) of pairs it begins; kinds of pairs it ends.
         begun = np.column_stack([n, n == 1, n == 2, n > 2, np.zeros_like(n)])
         ended = np.zeros_like(begun)
@@ -345,7 +385,7 @@ def train(texts: DataFrame, text_col: str = "text") -> Model:
         yield pa.RecordBatch.from_arrays([made.column(0), made.column(1), none, none, none, none], names=["bucket", "block", "n1", "n2", "n3", "n4"])
         yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.nulls(1, pa.binary()), *(pa.array([x], pa.int64()) for x in n_of)], names=["bucket", "block", "n1", "n2", "n3", "n4"])
 
-    counted = scratch.table(merge(rows.mapInArrow(pairs, "bucket long, block binary"), n_buckets, keep_pairs, "bucket long, block binary, n1 long, n2 long, n3 long, n4 long"), "pairs")
+    counted = scratch.table(merge(rows.mapInArrow(pairs, "bucket long, block binary"), n_buckets, keep_pairs, "bucket long, block binary, n1 long, n2 long, n3 long, n4 long", 2 if wide else 0), "pairs")
     _fill(path, ("pairs", "pair-counts"), {r[0] for r in counted.filter("block is null").select("bucket").collect()}, n_buckets)
     n_of = counted.agg(*(F.coalesce(F.sum(f"n{i}"), F.lit(0)) for i in range(1, 5))).first()
 
@@ -353,9 +393,9 @@ def train(texts: DataFrame, text_col: str = "text") -> Model:
         size = int(sizes[bucket])
         full = np.zeros((size, 5), dtype=np.int64)
         full[ids.astype(np.int64) - starts[bucket]] = sums
-        # followers: tokens after the word, kinds that end in it. kinds: of pairs it begins, by count 0 (unused), 1, 2, 3 or more.
+        # followers: tokens after the word, kinds that end in it. kinds: of pairs it begins, by count 1, 2, 3 or more.
         write_array(f"{path}/followers/{bucket}", full[:, [0, 4]].astype("<i8"))
-        write_array(f"{path}/kinds/{bucket}", np.column_stack([np.zeros(size), full[:, 1:4]]).astype("<i4"))
+        write_array(f"{path}/kinds/{bucket}", full[:, 1:4].astype("<i8"))
         ends = full[:, 4]
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (bucket, int(ends.sum()), *(int((ends == i).sum()) for i in range(1, 5)), int((ends > 2).sum()))], names=["bucket", "kinds", "n1", "n2", "n3", "n4", "more"])
 
@@ -366,7 +406,7 @@ def train(texts: DataFrame, text_col: str = "text") -> Model:
     d = discounts([total(f"n{i}") for i in range(1, 5)])
     n_kinds = total("kinds")
     rest = (d[1] * total("n1") + d[2] * total("n2") + d[3] * total("more")) / n_kinds if n_kinds else 1.0
-    return Model(path, n_buckets, starts, n_tokens, n_words, discounts(list(n_of)), d, n_kinds, rest)
+    return Model(path, n_buckets, starts, n_tokens, n_words, discounts(list(n_of)), d, n_kinds, rest, wide)
 
 
 class Scorer:
@@ -388,7 +428,7 @@ class Scorer:
         kinds, place = np.unique(np.append(tokens, np.uint64(START)), return_inverse=True)
         ids = self.arrays.word_ids(kinds)
         known = ids >= 0
-        counts, followers, parts = np.zeros(len(kinds)), np.zeros((len(kinds), 2)), np.zeros((len(kinds), 4))
+        counts, followers, parts = np.zeros(len(kinds)), np.zeros((len(kinds), 2)), np.zeros((len(kinds), 3))
         counts[known] = self.arrays.by_id("counts", ids[known])[:, 0]
         followers[known], parts[known] = self.arrays.by_id("followers", ids[known]), self.arrays.by_id("kinds", ids[known])
 
@@ -397,13 +437,13 @@ class Scorer:
         share = np.maximum(ended - d[np.minimum(ended, 3).astype(int)], 0) / max(m.n_kinds, 1) + m.word_rest / (m.n_words + 1)
         d = np.array(m.pair_discounts)
         after = followers[:, 0]
-        rest = np.where(after > 0, parts @ d / np.maximum(after, 1), 1.0)
+        rest = np.where(after > 0, parts @ d[1:] / np.maximum(after, 1), 1.0)
 
         here, before = place[:-1], _before(place[:-1], ends, place[-1])
         pair = known[here] & known[before]
         seen = np.zeros(len(here))
         if pair.any():
-            keys, back = np.unique(pair_keys(ids[before[pair]], ids[here[pair]]), return_inverse=True)
+            keys, back = np.unique(pair_keys(ids[before[pair]], ids[here[pair]], m.wide), return_inverse=True)
             seen[pair] = self.arrays.pair_counts(keys)[back]
         direct = np.maximum(seen - d[np.minimum(seen, 3).astype(int)], 0) / np.maximum(after[before], 1)
         chance = np.log10(direct + rest[before] * share[here])

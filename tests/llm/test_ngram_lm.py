@@ -109,3 +109,54 @@ def test_files_are_whole_or_absent(tmp_path):
     assert [p.name for p in (tmp_path / "deep" / "er").iterdir()] == ["0"]
     with pytest.raises(OSError):
         ngram_lm.map_array(path + "x", "<u8")
+
+
+@pytest.mark.parametrize(("name", "value"), [("NARROW", 3), ("LARGEST", 2), ("MAPPED", 2)])
+def test_wide_ids_large_counts_and_few_open_files(spark, monkeypatch, name, value):
+    """The same scores where ids do not fit a pair, counts need 64 bits, or hardly a file may stay open."""
+    monkeypatch.setattr(ngram_lm, name, value)
+    model = train(spark.createDataFrame([(t,) for t in TEXTS], "text string").repartition(3))
+    assert model.wide == (name == "NARROW")
+    brute, texts = Brute(TEXTS), [t for t in TEXTS if t is not None]
+    scorer = ngram_lm.Scorer(model)
+    scorer.arrays.mapped = ngram_lm.MAPPED
+    found = scorer([t.encode() for t in texts])
+    for got, t in zip(zip(*found, strict=True), texts, strict=True):
+        n, known, _, base, chance = brute.row(t)
+        assert got == pytest.approx((n, known, base, chance))
+    assert len(scorer.arrays.open) <= ngram_lm.MAPPED
+
+
+def test_open_files_are_bounded(spark, monkeypatch):
+    """With room for 64 files, a model of many more is read to its end."""
+    import os
+
+    monkeypatch.setattr(ngram_lm, "TOKENS_PER_BUCKET", 50)
+    model = train(spark.createDataFrame([(" ".join(f"w{i}" for i in range(5000)),)], "text string"))
+    arrays = ngram_lm.Arrays(model.path, model.n_buckets, model.starts, mapped=64)
+    files = lambda: len(os.listdir("/proc/self/fd"))
+    before = files()
+    for bucket in range(model.n_buckets):
+        for name in ngram_lm.Arrays.KINDS:
+            arrays.get(name, bucket)
+            assert files() - before <= 64 + 2
+    assert model.n_buckets * 6 > 300 and len(arrays.open) == 64
+
+
+def test_paths_as_hadoop_writes_them():
+    system, where = ngram_lm.located("file:///tmp/x")
+    assert (system.type_name, where) == ("local", "/tmp/x")
+    system, where = ngram_lm.located("s3a://bucket/key?region=eu-west-1")
+    assert (system.type_name, where) == ("s3", "bucket/key")
+
+
+def test_arrays_of_other_stores_are_read_within_bounds(spark, monkeypatch):
+    model = train(spark.createDataFrame([(t,) for t in TEXTS], "text string"))
+    plain = ngram_lm.map_array
+    monkeypatch.setattr(ngram_lm, "map_array", lambda path, kind: np.array(plain(path, kind)))
+    arrays = ngram_lm.Arrays(model.path, model.n_buckets, model.starts, read_bytes=64)
+    for bucket in range(model.n_buckets):
+        for name in arrays.KINDS:
+            arrays.get(name, bucket)
+            assert arrays.held == sum(a.nbytes for a in arrays.open.values())
+            assert arrays.held <= 64 or len(arrays.open) == 1

@@ -191,7 +191,7 @@ def blocks(benchmark: DataFrame, settings: Settings, id_col: str = "item_id", te
     items = benchmark.select(benchmark[id_col].cast("long").alias("item_id"), benchmark[text_col].cast("string").alias("text"))
     n = (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // settings.block_bytes + 1
     for b in range(n):
-        yield n, Benchmark(sorted(((r["item_id"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == b).dropna(subset=["text"]).collect()), key=_nulls_first), settings.words)
+        yield n, Benchmark(sorted(((r["item_id"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).dropna(subset=["text"]).collect()), key=_nulls_first), settings.words)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

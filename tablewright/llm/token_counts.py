@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.llm.words import as_bytes, map_batches
 
+#: A public byte-level vocabulary of 50,000 pieces, where this machine keeps it; everything here takes another path as a parameter.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 ROOT, NONE = 0, -1
 

@@ -1,14 +1,16 @@
 import random
+import re
 
 import pytest
 
 import corpus_pipeline
 from tablewright.llm import quality
-from tablewright.llm.decontaminate import tile, tokens
 from tablewright.llm.mixing import MixPlan
 
+from .test_decontaminate import brute_tiles
 from .test_mixing import targets
 from .test_near_dedup import brute as brute_groups
+from .test_quality import by_definition
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -51,18 +53,16 @@ def folder(spark, tmp_path_factory):
 def test_stages_equal_brute_force(spark, folder):
     rows, _, items = corpus()
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    scorer = quality.fit(docs, spark.read.parquet(f"{folder}/labels.parquet")).scorer()
-    kept = [r for r, s in zip(rows, scorer([(r[1] or "").encode() for r in rows]), strict=True) if s >= quality.THRESHOLD]
+    model = quality.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    kept = [r for r in rows if by_definition(model, r[1]) >= 0.3]
     largest = {}
     for r in kept:
         largest[r[1] or ""] = max(largest.get(r[1] or "", -1), r[0])
     kept = [r for r in kept if largest[r[1] or ""] == r[0]]
     group = brute_groups([(r[0], r[1]) for r in kept], 5)
     kept = [r for r in kept if group[r[0]][1] == r[0]]
-    numbers = {}
-    by_number = [[numbers.setdefault(w, len(numbers)) for w in tokens(t)] for _, t in items]
-    number = lambda t: [numbers.get(w, -1 - n) for n, w in enumerate(tokens(t))]
-    kept = [r for r in kept if not any(sum(n for *_, n in tile(item, number(r[1]), 5)) >= 0.8 * len(item) for item in by_number)]
+    words = lambda t: re.sub(r"[!-/:-@\[-`{-~]", " ", (t or "").lower()).split()
+    kept = [r for r in kept if not any(brute_tiles(words(t), words(r[1]), 5) >= 0.8 * len(words(t)) for _, t in items)]
     sizes = {}
     for r in kept:
         sizes[r[3]] = sizes.get(r[3], 0) + len((r[1] or "").split())

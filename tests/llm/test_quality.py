@@ -128,12 +128,24 @@ def test_a_text_that_does_not_fit_ends_nothing(spark):
     assert fit(spark.createDataFrame(longer, DOCS), marks, settings).weights is not None
 
 
-def test_scores_equal_their_definition(spark):
-    """Sizes by fresh compressors, one piece at a time, and the logistic function written out."""
+def by_definition(model, text):
+    """A score from sizes by fresh compressors, one piece at a time, and the logistic function written out."""
     import math
 
     import zstandard
 
+    text = (text or "").encode()
+    plain = {"level": 3, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+    pieces = [text[i : i + 1024] for i in range(0, max(1, len(text)), 1024)]
+    size = lambda dictionary: sum(len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary), **plain).compress(x)) for x in pieces)
+    a, b, n, own = size(model.good), size(model.bad), max(1, len(text)), len(zstandard.ZstdCompressor(**plain).compress(text))
+    z = model.weights[-1]
+    for f, w, m, s in zip(((b - a) / min(a, b), (b - a) / n, a / n, own / n), model.weights, model.mean, model.scale, strict=False):
+        z += w * (f - m) / s
+    return 1 / (1 + math.exp(-max(-500, min(500, z))))
+
+
+def test_scores_equal_their_definition(spark):
     draw = random.Random(3)
     good = [" ".join(draw.choices("river stone meadow cloud harvest lantern winter".split(), k=draw.randint(20, 400))) for _ in range(40)]
     bad = [" ".join(draw.choices("WIN!!! free$$$ click>> 777 <<now".split(), k=draw.randint(20, 400))) for _ in range(20)]
@@ -142,12 +154,4 @@ def test_scores_equal_their_definition(spark):
     model = quality.fit(docs, labels)
     got = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
     for r in docs.collect():
-        text = (r["text"] or "").encode()
-        pieces = [text[i : i + 1024] for i in range(0, max(1, len(text)), 1024)]
-        size = lambda dictionary: sum(len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_checksum=False, write_dict_id=False).compress(x)) for x in pieces)
-        a, b, n = size(model.good), size(model.bad), max(1, len(text))
-        own = len(zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False, write_dict_id=False).compress(text))
-        z = model.weights[-1]
-        for f, w, m, s in zip(((b - a) / min(a, b), (b - a) / n, a / n, own / n), model.weights, model.mean, model.scale, strict=False):
-            z += w * (f - m) / s
-        assert got[r["doc_id"]] == pytest.approx(1 / (1 + math.exp(-max(-500, min(500, z)))), abs=1e-9)
+        assert got[r["doc_id"]] == pytest.approx(by_definition(model, r["text"]), abs=1e-9)

@@ -28,7 +28,10 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by 0.8 of their shingles of five words, the one with the smallest doc_id stays."""
+    """Of documents linked by 0.8 of their shingles of five words, the one with the smallest doc_id stays.
+
+    Five words are the rule for stages on shingles; the query op5_near_duplicates has four, as it is asked to.
+    """
     return NearDedup(docs).survivors()
 
 

@@ -12,7 +12,7 @@ Scale: one scan of the texts makes slim rows, which are written once; they are s
 once by source and bucket and sorted there. The number of buckets follows the number of
 rows, so a source with a third of all rows meets in as many tasks as there are buckets; it
 has a bound of 2^22, so that the sums of one source's buckets fit one task, some 160 MB. Buckets
-hold more than 4000 rows only beyond 1.6 x 10^10 rows in all. The table of sources
+hold more than 1000 rows only beyond 4 x 10^9 rows in all. The table of sources
 meets in one task as well: it has one row per source, like the weights given for it.
 
 Defined results: a null text has size 0; a null source is a source of its own, ordered
@@ -40,7 +40,7 @@ class MixPlan:
     weights: tuple[float, ...] = (3.0, 1.0, 2.0)
     share: float = 1.5
     max_epochs: float = 2.0
-    rows_per_bucket: int = 4_000
+    rows_per_bucket: int = 1_000
     most_buckets: int = 1 << 22
 
 

@@ -1,6 +1,6 @@
-"""An interpolated modified Kneser-Ney model of word pairs.
+"""An interpolated modified Kneser-Ney model, of word pairs unless a higher order is asked for.
 
-Counting runs in Spark in three passes that each end in sorted arrays on shared storage:
+Counting runs in Spark in passes that each end in sorted arrays on shared storage:
 
 1. words: hashes of all training words with their counts. A word's place in the sorted
    array is its id.
@@ -11,6 +11,11 @@ Counting runs in Spark in three passes that each end in sorted arrays on shared
 3. contexts: for each word the number of tokens and of kinds of pairs it begins, and the
    number of kinds it ends.
 
+An order n above 2 repeats 2 for every length up to n: a run of k words is the pair of the
+id of its first k - 1 words and the id of its last, with the id of its last k - 1 words beside it
+while it is counted. Then 3 goes down from n - 1 to 1: shorter runs count by the kinds of words
+before them, or as often as they occur if they begin a text.
+
 Every array is cut into buckets by the leading bits of the hash, one file each, so a bucket is
 made by one task and found without a search. Tasks count what they have read before it is
 shuffled, as blocks of sorted, delta-coded keys per bucket; a word pair in a third of all
@@ -24,8 +29,8 @@ that cannot be mapped it reads an array into memory and keeps a bounded number o
 nothing is written to local disk.
 
 p(w | u) is the discounted share of w among what follows u, plus u's left-over mass times
-the share of w among kinds of pairs that end in it, discounted likewise, plus the rest
-spread evenly over the words known and one unknown word. The three discounts of each level
+p(w | u without its first word); for no u at all, the share of w among kinds of pairs that end in it, discounted
+likewise, plus the rest spread evenly over the words known and one unknown word. The three discounts of each level
 come from the counts of counts. Tokens are words, A-Z lower-cased and split at ASCII white
 space, then one end; the first word follows a start mark.
 
@@ -44,7 +49,7 @@ import os
 import sys
 import uuid
 from collections import OrderedDict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from urllib.parse import urlparse
 
@@ -186,6 +191,15 @@ def merge(rows: DataFrame, n_buckets: int, finish: Callable[[int, np.ndarray, np
 # ---- the model
 
 
+@dataclass(frozen=True)
+class Level:
+    """Runs of 2 or more words: where the ids of each bucket start, whether keys are hashes, and their discounts."""
+
+    starts: np.ndarray
+    wide: bool
+    discounts: tuple[float, ...]
+
+
 @dataclass(frozen=True)
 class Model:
     """Where the arrays are, and the few numbers that scoring needs beside them."""
@@ -195,11 +209,14 @@ class Model:
     starts: np.ndarray
     n_tokens: int
     n_words: int
-    pair_discounts: tuple[float, ...]
+    grams: tuple[Level, ...]
     word_discounts: tuple[float, ...]
     n_kinds: int
     word_rest: float
-    wide: bool = False
+
+    @property
+    def wide(self) -> bool:
+        return self.grams[0].wide
 
 
 def discounts(n: list[int]) -> tuple[float, ...]:
@@ -212,6 +229,23 @@ def discounts(n: list[int]) -> tuple[float, ...]:
     return 0.0, *(min(max(d, 0.05), most) for d, most in zip(raw, (1.0, 2.0, 3.0), strict=True))
 
 
+def keys_of(k: int) -> str:
+    """The array of the keys of runs of ``k`` words."""
+    return "words" if k == 1 else "pairs" if k == 2 else f"runs-{k}"
+
+
+def counts_of(k: int) -> str:
+    return "counts" if k == 1 else "pair-counts" if k == 2 else f"run-counts-{k}"
+
+
+def followers_of(k: int) -> str:
+    return "followers" if k == 1 else f"followers-{k}"
+
+
+def kinds_of(k: int) -> str:
+    return "kinds" if k == 1 else f"kinds-{k}"
+
+
 class Arrays:
     """The mapped arrays of a model, bucket by bucket; those used last stay mapped."""
 
@@ -227,10 +261,12 @@ class Arrays:
         if key in self.open:
             self.open.move_to_end(key)
             return self.open[key]
-        found = map_array(f"{self.path}/{name}/{bucket}", "<u1" if name == "pair-counts" else self.KINDS[name])
-        if name == "pair-counts":
+        plain = name.removesuffix("-below")
+        runs = "pairs" if plain == "pair-counts" else plain.replace("run-counts", "runs") if plain.startswith("run-counts") else None
+        found = map_array(f"{self.path}/{name}/{bucket}", "<u1" if runs else "<u8" if name.startswith("runs") else self.KINDS.get(name, "<i8"))
+        if runs:
             # Counts have the width that the largest of the bucket needs.
-            n = len(self.get("pairs", bucket))
+            n = len(self.get(runs, bucket))
             found = found.view("<i8" if n and len(found) == 8 * n else "<i4")
         self.open[key] = found
         self.held += self._read(found)
@@ -261,27 +297,54 @@ class Arrays:
         cuts = [0, *(np.flatnonzero(np.diff(buckets)) + 1), len(keys)] if len(keys) else []
         return ((int(buckets[a]), a, z) for a, z in zip(cuts, cuts[1:], strict=False))
 
-    def by_id(self, name: str, ids: np.ndarray) -> np.ndarray:
-        """Rows of a per-word array for sorted ids."""
-        wide = 3 if name == "kinds" else 2 if name == "followers" else 1
+    def by_id(self, name: str, ids: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
+        """Rows of an array for sorted ids of words, or of those runs whose buckets start at ``starts``."""
+        starts = self.starts if starts is None else starts
+        wide = 3 if name.startswith("kinds") else 2 if name.startswith("followers") else 1
         out = np.zeros((len(ids), wide), dtype=np.int64)
-        buckets = np.searchsorted(self.starts, ids, side="right") - 1
+        buckets = np.searchsorted(starts, ids, side="right") - 1
         cuts = [0, *(np.flatnonzero(np.diff(buckets)) + 1), len(ids)] if len(ids) else []
         for a, z in zip(cuts, cuts[1:], strict=False):
             b = int(buckets[a])
-            out[a:z] = self.get(name, b).reshape(-1, wide)[ids[a:z] - self.starts[b]]
+            out[a:z] = self.get(name, b).reshape(-1, wide)[ids[a:z] - starts[b]]
         return out
 
-    def pair_counts(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of sorted pair keys; 0 for pairs never seen."""
-        counts = np.zeros(len(keys), dtype=np.int64)
+    def runs(self, k: int, level_starts: np.ndarray, keys: np.ndarray, top: bool | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts) of sorted keys of runs of ``k`` words; -1 and 0 for runs never seen. Without ``top`` nothing is counted."""
+        counted = counts_of(k) if top else f"{counts_of(k)}-below"
+        ids, counts = np.full(len(keys), -1, dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
         for b, a, z in self._runs(keys):
-            known = self.get("pairs", b)
+            known = self.get(keys_of(k), b)
             if len(known):
                 at = np.searchsorted(known, keys[a:z])
                 at[at == len(known)] = 0
-                counts[a:z] = np.where(known[at] == keys[a:z], self.get("pair-counts", b)[at], 0)
-        return counts
+                found = known[at] == keys[a:z]
+                ids[a:z] = np.where(found, level_starts[b] + at, -1)
+                if top is not None:
+                    counts[a:z] = np.where(found, self.get(counted, b)[at], 0)
+        return ids, counts
+
+
+def _longer(arrays: Arrays, levels: Sequence[tuple[np.ndarray, bool]], ids: np.ndarray, ends: np.ndarray, start: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length k from 2 to one more than ``levels`` know: the ids of the k - 1 words before each token, and of the
+    k - 1 words that end in it; -1 for none.
+
+    ``ids`` are those of the tokens and ``start`` of the mark; ``levels`` has, for the lengths known, where ids start and
+    whether keys are hashes.
+    """
+    here, mark = ids, start
+    for k in range(2, len(levels) + 3):
+        # What comes before the first token is the mark where runs are words; of longer ones there is none.
+        before = _before(here, ends, mark)
+        yield before, here
+        if k == len(levels) + 2:
+            return
+        starts, wide = levels[k - 2]
+        both, now = (before >= 0) & (ids >= 0), np.full(len(ids), -1, dtype=np.int64)
+        if both.any():
+            keys, back = np.unique(pair_keys(before[both], ids[both], wide), return_inverse=True)
+            now[both] = arrays.runs(k, starts, keys)[0][back]
+        here, mark = now, -1
 
 
 def pair_keys(first: np.ndarray, second: np.ndarray, wide: bool = False) -> np.ndarray:
@@ -327,11 +390,13 @@ def _fill(path: str, names: tuple[str, ...], made: set[int], n_buckets: int) ->
     """Empty files for buckets that no key fell into, so that a missing file is always an error."""
     for bucket in set(range(n_buckets)) - made:
         for name in names:
-            write_array(f"{path}/{name}/{bucket}", np.empty(0, dtype=Arrays.KINDS[name]))
+            write_array(f"{path}/{name}/{bucket}", np.empty(0, dtype="<u1"))
 
 
-def train(texts: DataFrame, text_col: str = "text") -> Model:
-    """Counts the texts of a table into a model on shared storage."""
+def train(texts: DataFrame, text_col: str = "text", order: int = 2) -> Model:
+    """Counts the texts of a table into a model on shared storage, of runs of up to ``order`` words."""
+    if order < 2:
+        raise ValueError("the order is 2 at least")
     spark = texts.sparkSession
     scratch = Scratch(spark, "ngram-lm")
     # With its scheme: workers do not know Spark's default file system.
@@ -357,65 +422,143 @@ def train(texts: DataFrame, text_col: str = "text") -> Model:
 
     stats = merge(rows.mapInArrow(words, "bucket long, block binary"), n_buckets, keep_words, "bucket long, n long, known long, tokens long").collect()
     _fill(path, ("words", "counts"), {r["bucket"] for r in stats}, n_buckets)
+    sizes = [_sizes(stats, n_buckets)]
+    starts = _starts(sizes[0])
+    n_words, n_tokens = sum(r["known"] for r in stats), sum(r["tokens"] for r in stats)
+
+    # Up: the runs of every length, with what they tell of the runs one word shorter.
+    levels: list[tuple[np.ndarray, bool]] = []
+    for k in range(2, order + 1):
+        wide = bool(max(sizes[0].sum(), sizes[-1].sum()) >= NARROW)
+        counted = _count_runs(rows, path, n_buckets, starts, tuple(levels), _starts(sizes[-1]), k, wide, k == order)
+        counted = scratch.table(counted, f"runs-{k}")
+        stats = counted.filter("block is null").select("bucket", "n", "n1", "n2", "n3", "n4").collect()
+        _fill(path, (keys_of(k), counts_of(k), *(() if k == order else (f"contexts-{k}",))), {r["bucket"] for r in stats}, n_buckets)
+        sizes.append(_sizes(stats, n_buckets))
+        levels.append((_starts(sizes[-1]), wide))
+    found = [discounts([sum(r[f"n{i}"] for r in stats) for i in range(1, 5)])]
+
+    # Down: the contexts of every length, and the counts of shorter runs that follow from them.
+    below = None
+    for k in range(order - 1, 0, -1):
+        told = spark.read.parquet(scratch.at(f"runs-{k + 1}")).filter("block is not null").select("bucket", "block")
+        told = told if below is None else told.union(below.filter("block is not null").select("bucket", "block"))
+        if k > 1:
+            # Runs that are whole texts tell nothing of each other: every bucket gets one row of zeros at least.
+            firsts = [(b, bytearray(packed(levels[k - 2][0][b : b + 1].astype(np.uint64), np.zeros((1, 5), dtype=np.int64)))) for b in np.flatnonzero(sizes[k - 1]).tolist()]
+            told = told.union(spark.createDataFrame(firsts, "bucket long, block binary"))
+        below = scratch.table(_contexts(told, path, n_buckets, _starts(sizes[k - 1]), sizes[k - 1], _starts(sizes[k - 2]) if k > 1 else None, k), f"contexts-{k}")
+        stats = below.filter("block is null").collect()
+        # A bucket that no run fell into told nothing, and has nothing.
+        _fill(path, (followers_of(k), kinds_of(k), *((f"{counts_of(k)}-below",) if k > 1 else ())), {r["bucket"] for r in stats}, n_buckets)
+        found.append(discounts([sum(r[f"n{i}"] for r in stats) for i in range(1, 5)]))
+        scratch.drop(f"runs-{k + 1}")
+    total = lambda name: sum(r[name] for r in stats)
+    d, n_kinds = found[-1], total("kinds")
+    rest = (d[1] * total("n1") + d[2] * total("n2") + d[3] * total("more")) / n_kinds if n_kinds else 1.0
+    grams = tuple(Level(*level, ds) for level, ds in zip(levels, found[-2::-1], strict=True))
+    return Model(path, n_buckets, starts, n_tokens, n_words, grams, d, n_kinds, rest)
+
+
+def _sizes(stats: list, n_buckets: int) -> np.ndarray:
     sizes = np.zeros(n_buckets, dtype=np.int64)
     for r in stats:
         sizes[r["bucket"]] = r["n"]
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    n_words, n_tokens = sum(r["known"] for r in stats), sum(r["tokens"] for r in stats)
-    wide = bool(sizes.sum() >= NARROW)
+    return sizes
+
 
-    def pairs(batches):
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)[:-1]])
+
+
+_TOLD = "bucket long, block binary, n long, kinds long, n1 long, n2 long, n3 long, n4 long, more long"
+
+
+def _told(bucket: int, n: int, kinds: int, counts: np.ndarray) -> pa.RecordBatch:
+    """One row of numbers on a bucket: how many there are, the sum of their counts, and counts of counts."""
+    numbers = (n, kinds, *(int((counts == i).sum()) for i in range(1, 5)), int((counts > 2).sum()))
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.nulls(1, pa.binary()), *(pa.array([x], pa.int64()) for x in numbers)], names=[f.split()[0] for f in _TOLD.split(", ")])
+
+
+def _passed(made: pa.RecordBatch) -> pa.RecordBatch:
+    """Blocks for the buckets of shorter runs, in the same form."""
+    none = pa.nulls(made.num_rows, pa.int64())
+    return pa.RecordBatch.from_arrays([made.column(0), made.column(1), *[none] * 7], names=[f.split()[0] for f in _TOLD.split(", ")])
+
+
+def _begun(n: np.ndarray) -> np.ndarray:
+    """What runs with these counts tell of their contexts: tokens, and kinds seen once, twice, more; the fifth column is for kinds that end."""
+    return np.column_stack([n, n == 1, n == 2, n > 2, np.zeros_like(n)]).astype(np.int64)
+
+
+def _width(n: np.ndarray) -> str:
+    return "<i8" if len(n) and n.max() > LARGEST else "<i4"
+
+
+def _count_runs(rows: DataFrame, path: str, n_buckets: int, starts: np.ndarray, levels: tuple, shorter: np.ndarray, k: int, wide: bool, top: bool) -> DataFrame:
+    """Counts the runs of ``k`` words into arrays; gives numbers per bucket, and blocks for the runs of one word less."""
+    # Only pairs of narrow ids can be undone: else the ids of context and ending travel beside the count.
+    beside = wide or k > 2
+
+    def runs(batches):
         arrays = Arrays(path, n_buckets, starts)
         for tokens, ends in _gathered(batches):
             kinds, place = np.unique(np.append(tokens, np.uint64(START)), return_inverse=True)
             ids = arrays.word_ids(kinds)[place]
-            first, second = _before(ids[:-1], ends, ids[-1]), ids[:-1]
-            keys, at, n = np.unique(pair_keys(first, second, wide), return_index=True, return_counts=True)
-            yield blocks(keys, np.column_stack([n, first[at], second[at]] if wide else [n]), bucket_of(keys, n_buckets))
-
-    def keep_pairs(bucket, keys, sums):
+            for context, ending in _longer(arrays, levels, ids[:-1], ends, ids[-1]):
+                pass
+            there = context >= 0
+            context, ending = context[there], ending[there]
+            keys, at, n = np.unique(pair_keys(context, ids[:-1][there], wide), return_index=True, return_counts=True)
+            yield blocks(keys, np.column_stack([n, context[at], ending[at]] if beside else [n]), bucket_of(keys, n_buckets))
+
+    def keep(bucket, keys, sums):
         n = sums[:, 0]
-        write_array(f"{path}/pairs/{bucket}", keys.astype("<u8"))
-        write_array(f"{path}/pair-counts/{bucket}", n.astype("<i8" if len(n) and n.max() > LARGEST else "<i4"))
-        if wide:
-            first, second = sums[:, 1].astype(np.uint64), sums[:, 2].astype(np.uint64)
+        write_array(f"{path}/{keys_of(k)}/{bucket}", keys.astype("<u8"))
+        write_array(f"{path}/{counts_of(k)}/{bucket}", n.astype(_width(n)))
+        if beside:
+            context, ending = sums[:, 1].astype(np.uint64), sums[:, 2].astype(np.uint64)
         else:
             both = _unmixed(keys)
-            first, second = both >> np.uint64(32), both & np.uint64(2**32 - 1)
-        # Per word: tokens and kinds (seen once, twice, more) of pairs it begins; kinds of pairs it ends.
-        begun = np.column_stack([n, n == 1, n == 2, n > 2, np.zeros_like(n)])
-        ended = np.zeros_like(begun)
+            context, ending = both >> np.uint64(32), both & np.uint64(2**32 - 1)
+        ended = np.zeros((len(n), 5), dtype=np.int64)
         ended[:, 4] = 1
-        ids, sums = summed(np.concatenate([first, second]), np.concatenate([begun, ended]).astype(np.int64))
-        at = np.searchsorted(starts, ids.astype(np.int64), side="right") - 1
-        made = blocks(ids, sums, at)
-        n_of = [int((n == i).sum()) for i in range(1, 5)]
-        none = pa.nulls(made.num_rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([made.column(0), made.column(1), none, none, none, none], names=["bucket", "block", "n1", "n2", "n3", "n4"])
-        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.nulls(1, pa.binary()), *(pa.array([x], pa.int64()) for x in n_of)], names=["bucket", "block", "n1", "n2", "n3", "n4"])
-
-    counted = scratch.table(merge(rows.mapInArrow(pairs, "bucket long, block binary"), n_buckets, keep_pairs, "bucket long, block binary, n1 long, n2 long, n3 long, n4 long", 2 if wide else 0), "pairs")
-    _fill(path, ("pairs", "pair-counts"), {r[0] for r in counted.filter("block is null").select("bucket").collect()}, n_buckets)
-    n_of = counted.agg(*(F.coalesce(F.sum(f"n{i}"), F.lit(0)) for i in range(1, 5))).first()
-
-    def keep_contexts(bucket, ids, sums):
+        ids, told = ending, ended
+        if top:
+            ids, told = np.concatenate([context, ending]), np.concatenate([_begun(n), ended])
+        else:
+            write_array(f"{path}/contexts-{k}/{bucket}", context.astype("<u8"))
+        ids, told = summed(ids, told)
+        yield _passed(blocks(ids, told, np.searchsorted(shorter, ids.astype(np.int64), side="right") - 1))
+        yield _told(bucket, len(n), 0, n)
+
+    return merge(rows.mapInArrow(runs, "bucket long, block binary"), n_buckets, keep, _TOLD, 2 if beside else 0)
+
+
+def _contexts(told: DataFrame, path: str, n_buckets: int, starts: np.ndarray, sizes: np.ndarray, shorter: np.ndarray | None, k: int) -> DataFrame:
+    """Writes what follows runs of ``k`` words, and for pairs and longer ones the counts they have below the top; gives numbers and blocks as ``_count_runs`` does."""
+
+    def keep(bucket, ids, sums):
         size = int(sizes[bucket])
         full = np.zeros((size, 5), dtype=np.int64)
         full[ids.astype(np.int64) - starts[bucket]] = sums
-        # followers: tokens after the word, kinds that end in it. kinds: of pairs it begins, by count 1, 2, 3 or more.
-        write_array(f"{path}/followers/{bucket}", full[:, [0, 4]].astype("<i8"))
-        write_array(f"{path}/kinds/{bucket}", full[:, 1:4].astype("<i8"))
+        # followers: tokens after the run, kinds that end in it. kinds: of longer runs it begins, by count 1, 2, 3 or more.
+        write_array(f"{path}/{followers_of(k)}/{bucket}", full[:, [0, 4]].astype("<i8"))
+        write_array(f"{path}/{kinds_of(k)}/{bucket}", full[:, 1:4].astype("<i8"))
         ends = full[:, 4]
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (bucket, int(ends.sum()), *(int((ends == i).sum()) for i in range(1, 5)), int((ends > 2).sum()))], names=["bucket", "kinds", "n1", "n2", "n3", "n4", "more"])
+        if k > 1:
+            arrays = Arrays(path, n_buckets, starts)
+            # Only what begins a text has no word before it.
+            n = np.where(ends > 0, ends, arrays.get(counts_of(k), bucket))
+            context = np.asarray(map_array(f"{path}/contexts-{k}/{bucket}", "<u8"))
+            del arrays
+            write_array(f"{path}/{counts_of(k)}-below/{bucket}", n.astype(_width(n)))
+            context, begun = summed(context, _begun(n))
+            yield _passed(blocks(context, begun, np.searchsorted(shorter, context.astype(np.int64), side="right") - 1))
+            ends = n
+        yield _told(bucket, size, int(ends.sum()), ends)
 
-    contexts = merge(counted.filter("block is not null").select("bucket", "block"), n_buckets, keep_contexts, "bucket long, kinds long, n1 long, n2 long, n3 long, n4 long, more long")
-    stats = contexts.collect()
-    scratch.drop("pairs")
-    total = lambda name: sum(r[name] for r in stats)
-    d = discounts([total(f"n{i}") for i in range(1, 5)])
-    n_kinds = total("kinds")
-    rest = (d[1] * total("n1") + d[2] * total("n2") + d[3] * total("more")) / n_kinds if n_kinds else 1.0
-    return Model(path, n_buckets, starts, n_tokens, n_words, discounts(list(n_of)), d, n_kinds, rest, wide)
+    return merge(told, n_buckets, keep, _TOLD)
 
 
 class Scorer:
@@ -444,18 +587,27 @@ class Scorer:
         d = np.array(m.word_discounts)
         ended = followers[:, 1]
         share = np.maximum(ended - d[np.minimum(ended, 3).astype(int)], 0) / max(m.n_kinds, 1) + m.word_rest / (m.n_words + 1)
-        d = np.array(m.pair_discounts)
-        after = followers[:, 0]
-        rest = np.where(after > 0, parts @ d[1:] / np.maximum(after, 1), 1.0)
-
         here, before = place[:-1], _before(place[:-1], ends, place[-1])
-        pair = known[here] & known[before]
-        seen = np.zeros(len(here))
-        if pair.any():
-            keys, back = np.unique(pair_keys(ids[before[pair]], ids[here[pair]], m.wide), return_inverse=True)
-            seen[pair] = self.arrays.pair_counts(keys)[back]
-        direct = np.maximum(seen - d[np.minimum(seen, 3).astype(int)], 0) / np.maximum(after[before], 1)
-        chance = np.log10(direct + rest[before] * share[here])
+        chance, tokens_of = share[here], ids[here]
+        after, parts = followers[before, 0], parts[before]
+        context, begins = ids[before], np.concatenate([[0], ends[:-1]])
+        for k, level in enumerate(m.grams, 2):
+            d, pair = np.array(level.discounts), (context >= 0) & (tokens_of >= 0)
+            seen, now = np.zeros(len(here)), np.full(len(here), -1, dtype=np.int64)
+            if pair.any():
+                keys, back = np.unique(pair_keys(context[pair], tokens_of[pair], level.wide), return_inverse=True)
+                runs, n = self.arrays.runs(k, level.starts, keys, top=k == len(m.grams) + 1)
+                now[pair], seen[pair] = runs[back], n[back]
+            rest = np.where(after > 0, parts @ d[1:] / np.maximum(after, 1), 1.0)
+            chance = np.maximum(seen - d[np.minimum(seen, 3).astype(int)], 0) / np.maximum(after, 1) + rest * chance
+            if k <= len(m.grams):
+                # The run that ends in a token is the context of the next; a text begins without.
+                context = np.concatenate([[-1], now[:-1]])
+                context[begins] = -1
+                after, parts, there = np.zeros(len(here)), np.zeros((len(here), 3)), context >= 0
+                runs, back = np.unique(context[there], return_inverse=True)
+                after[there], parts[there] = self.arrays.by_id(followers_of(k), runs, level.starts)[back, 0], self.arrays.by_id(kinds_of(k), runs, level.starts)[back]
+        chance = np.log10(chance)
         base = np.log10((counts[here] + 1) / (m.n_tokens + 1 * (m.n_words + 1)))
         begin = ends - sizes
         return [sizes, np.add.reduceat((counts[here] > 0).astype(np.int64), begin), np.add.reduceat(base, begin), np.add.reduceat(chance, begin)]

@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -160,3 +161,66 @@ def test_arrays_of_other_stores_are_read_within_bounds(spark, monkeypatch):
             arrays.get(name, bucket)
             assert arrays.held == sum(a.nbytes for a in arrays.open.values())
             assert arrays.held <= 64 or len(arrays.open) == 1
+
+
+class BruteOfOrder:
+    """A model of any order from its definition, with dictionaries."""
+
+    def __init__(self, texts, order):
+        self.order, self.raw = order, {k: Counter() for k in range(1, order + 1)}
+        for t in texts:
+            w = Brute.tokens(t)
+            for k in self.raw:
+                self.raw[k].update(g for i in range(len(w) - k + 1) if (g := tuple(w[i : i + k])) != ("<s>",))
+        self.counts = {order: self.raw[order]}
+        for k in range(order - 1, 0, -1):
+            before = Counter(g[1:] for g in self.raw[k + 1])
+            self.counts[k] = {g: n if k > 1 and g[0] == "<s>" else before[g] for g, n in self.raw[k].items()}
+        self.d = {k: discounts([sum(n == i for n in c.values()) for i in range(1, 5)]) for k, c in self.counts.items()}
+        self.after = {k: defaultdict(list) for k in self.counts}
+        for k, c in self.counts.items():
+            for g, n in c.items():
+                self.after[k][g[:-1]].append(n)
+
+    def p(self, context, w):
+        k = len(context) + 1
+        follow, d = self.after[k].get(tuple(context), []), self.d[k]
+        if k == 1:
+            total, n = sum(follow), self.counts[1].get((w,), 0)
+            rest = sum(d[min(x, 3)] for x in follow) / total if total else 1
+            return (max(n - d[min(n, 3)], 0) / total if total else 0) + rest / (len(self.raw[1]) + 1)
+        lower = self.p(context[1:], w)
+        if not sum(follow):
+            return lower
+        n = self.counts[k].get((*context, w), 0)
+        return (max(n - d[min(n, 3)], 0) + sum(d[min(x, 3)] for x in follow) * lower) / sum(follow)
+
+    def score(self, text):
+        w = Brute.tokens(text)
+        return sum(math.log10(self.p(w[max(0, i - self.order + 1) : i], w[i])) for i in range(1, len(w)))
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+@pytest.mark.parametrize("narrow", [1 << 32, 3])
+def test_every_order_equals_the_definition(spark, monkeypatch, order, narrow):
+    monkeypatch.setattr(ngram_lm, "NARROW", narrow)
+    draw = random.Random(order)
+    texts = [" ".join(draw.choices("a b c d e f the of".split(), k=draw.randrange(12))) for _ in range(60)] + ["", None, "alone", "x y", *TEXTS[:4]]
+    brute = BruteOfOrder(texts, order)
+    for context in (["<s>"], ["<s>", "a"][-order + 1 :], ["a", "b", "the"][-order + 1 :]):
+        assert sum(brute.p(context, w) for (w,) in brute.raw[1]) + brute.p(context, "?") == pytest.approx(1)
+    model = train(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), order=order)
+    asked = [t for t in texts if t is not None] + ["never seen at all", "the a zzz b c the", "b"]
+    found = ngram_lm.Scorer(model)([t.encode() for t in asked])[3]
+    assert found.tolist() == pytest.approx([brute.score(t) for t in asked])
+    if order == 2:
+        assert [brute.score(t) for t in asked] == pytest.approx([Brute(texts).row(t)[4] for t in asked])
+
+
+@pytest.mark.parametrize("training", [[], [None, ""], ["one"]])
+def test_little_training_text_of_a_higher_order(spark, training):
+    model = train(spark.createDataFrame([(t,) for t in training], "text string"), order=3)
+    found = ngram_lm.Scorer(model)([t.encode() for t in ("", "one", "one two", "x")])[3]
+    assert found.tolist() == pytest.approx([BruteOfOrder(training, 3).score(t) for t in ("", "one", "one two", "x")])
+    with pytest.raises(ValueError, match="order"):
+        train(spark.createDataFrame([], "text string"), order=1)

@@ -61,7 +61,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.storage import Scratch, hadoop_path
+from tablewright.storage import Scratch, hadoop_path, remove
 from tablewright.llm.words import WordHashes, as_bytes, lowered_words, map_batches, mixed, slices
 
 FOLDS, HELD_OUT_FOLD = 7, 2
@@ -453,6 +453,8 @@ def train(texts: DataFrame, text_col: str = "text", order: int = 2) -> Model:
         _fill(path, (followers_of(k), kinds_of(k), *((f"{counts_of(k)}-below",) if k > 1 else ())), {r["bucket"] for r in stats}, n_buckets)
         found.append(discounts([sum(r[f"n{i}"] for r in stats) for i in range(1, 5)]))
         scratch.drop(f"runs-{k + 1}")
+        for name in (f"contexts-{k}", counts_of(k)) if k > 1 else ():
+            remove(spark, f"{path}/{name}")  # the counts below the top have taken their place
     total = lambda name: sum(r[name] for r in stats)
     d, n_kinds = found[-1], total("kinds")
     rest = (d[1] * total("n1") + d[2] * total("n2") + d[3] * total("more")) / n_kinds if n_kinds else 1.0

@@ -401,7 +401,7 @@ class NearDedup:
     def survivors(self) -> DataFrame:
         """The rows of one document per group, with the columns of the input."""
         gone = self._judged().filter("not kept").select(F.col("doc_id").alias("__gone"), F.col("key").alias("__gone_key")).distinct()
-        same = (_row_key(self.docs, self.id_col, self.text_col) == F.col("__gone_key")) & self.docs[self.id_col].cast("long").eqNullSafe(F.col("__gone"))
+        same = (_row_key(self.docs, self.id_col, self.text_col) == gone["__gone_key"]) & self.docs[self.id_col].cast("long").eqNullSafe(gone["__gone"])
         return self.docs.join(gone, same, "left_anti")
 
 
